@@ -9,11 +9,11 @@ shingles whose Jaccard similarity is t or more differ in at most (1 - t) / (1 +
    the top of a band also takes part in the next one. Places that are empty are keys only for documents with more
    than p - d - 1 of them, since any other pair agrees in a place that isn't.
 2. Documents with identical sets are one member from the start. Keys are grouped per batch before the shuffle; a
-   key's group is a list of members, cut into blocks of bounded size whose pairs are compared block against block.
-3. In a list, one-bit parity sketches (popcount of XOR) prune pairs exactly, by the same bound. Of the pairs that
-   are left, a spanning forest goes on, closest pairs first: the others can't change the groups.
-4. Those pairs are verified on the shingle sets themselves. If one fails, its lists are compared again, without
-   that pair and with the groups known so far, until no pair fails.
+   key's group is a list of members, in blocks of bounded size.
+3. Members that lists connect are a family. A family of bounded size is compared in one task, and so each member
+   travels once; the lists of larger families are compared one by one, block against block.
+4. There, one-bit parity sketches (popcount of XOR) prune pairs exactly, by the same bound, and pairs that are left
+   are verified on the shingle sets themselves, unless links have joined them already.
 5. Groups are the connected components of verified links.
 """
 
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import LOWER, PLAIN, Words, grams, materialise, mix, packed, packed_flat, signed, slices, small, text_bytes
 from quillstone.llm.components import components
 
-#: Members of a list that one task compares at once; longer lists are compared block by block.
-BLOCK = 2048
+#: Members of a block of a list.
+BLOCK = 512
+#: Members, and shingles of all of them, that a family compared in one task may have.
+FAMILY = (4096, 4_000_000)
 BAND_RATIO = 1.6
 
 
@@ -67,24 +69,12 @@ def shingle_sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
     return out
 
 
-def _bits(n: int) -> int:
-    return 1 << max(8, (2 * n // 3 * 2).bit_length())
-
-
-def parity_bits(shingles: np.ndarray) -> np.ndarray:
-    """Parity sketch of one bit a place. Halves XOR-ed together are the sketch of half the size."""
-    m = _bits(len(shingles))
-    odd = np.bincount((shingles & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+def parity_bits(shingles: np.ndarray, places: int) -> np.ndarray:
+    """Parity sketch of one bit a place; places is a power of two, 64 or more."""
+    odd = np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def fold(sketch: np.ndarray, words: int) -> np.ndarray:
-    while len(sketch) > words:
-        half = len(sketch) // 2
-        sketch = sketch[:half] ^ sketch[half:]
-    return sketch
-
-
 def band_keys(shingles: np.ndarray, edges: np.ndarray, threshold: Threshold) -> np.ndarray:
     """Keys of a document's places in its band, and in the next band if a partner can be there."""
     n = len(shingles)
@@ -115,8 +105,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, threshold: Threshold) ->
         sums = np.array([int(np.sum(mix(s), dtype=np.uint64)) if len(s) else 0 for s in sets], np.uint64)
         xors = np.array([int(np.bitwise_xor.reduce(mix(~s))) if len(s) else 0 for s in sets], np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(sizes), pa.array(signed(sums)), pa.array(signed(xors)), packed([parity_bits(s) for s in sets], np.uint64), packed([band_keys(s, edges, threshold) for s in sets], np.uint64)],
-            names=["id", "n", "f1", "f2", "sketch", "keys"],
+            [batch.column("id"), pa.array(sizes), pa.array(signed(sums)), pa.array(signed(xors)), packed([band_keys(s, edges, threshold) for s in sets], np.uint64)],
+            names=["id", "n", "f1", "f2", "keys"],
         )
 
 
@@ -144,10 +134,10 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> None:
         if len(held) > 1 or block:
-            out.append((key, block, block > 0, held.tobytes()))
+            out.append((key, block, block > 0, int(held[0]) if len(held) else None, held.tobytes()))
 
     def flush() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.bool_()), pa.array([r[3] for r in out], pa.binary())], names=["key", "block", "many", "members"])
+        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.bool_()), pa.array([r[3] for r in out], pa.int64()), pa.array([r[4] for r in out], pa.binary())], names=["key", "block", "many", "head", "members"])
         out.clear()
         return batch
 
@@ -165,7 +155,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, held, block = int(keys[s]), np.zeros(0, np.int64), 0
             held = np.union1d(held, members[offs[s] : offs[e]])
             while len(held) > BLOCK:
-                out.append((key, block, True, held[:BLOCK].tobytes()))
+                out.append((key, block, True, int(held[0]), held[:BLOCK].tobytes()))
                 held, block = held[BLOCK:], block + 1
         if len(out) >= 2000:
             yield flush()
@@ -173,95 +163,70 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by item -> closest pairs of each item that the parity sketches leave, as a spanning forest."""
-    found: list[tuple[int, int]] = []
-    rows: list[tuple] = []
+def linked(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], threshold: Threshold) -> list[tuple[int, int]]:
+    """Verified links that join all of these members that links among them join. With two sides, only pairs across count."""
+    if len(ids) < 2:
+        return []
+    sizes, label, cross = np.array([len(s) for s in sets]), np.arange(len(ids)), bool(sides.any())
+    places = 1 << max(9, (4 * int(np.median(sizes))).bit_length())
+    sketches = np.stack([parity_bits(s, places) for s in sets])
+    out = []
+    for i in range(len(ids) - 1):
+        j = np.arange(i + 1, len(ids))
+        j = j[(label[j] != label[i]) & ((sides[j] != sides[i]) if cross else True)]
+        most = threshold.differences(sizes[i] + sizes[j])
+        j, most = j[np.abs(sizes[j] - sizes[i]) <= most], most[np.abs(sizes[j] - sizes[i]) <= most]
+        if not len(j):
+            continue
+        hamming = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        for k in j[hamming <= most].tolist():
+            if label[k] == label[i] or ids[k] == ids[i]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+            if threshold.den * both >= threshold.num * int(sizes[i] + sizes[k] - both):
+                label[label == label[k]] = label[i]
+                out.append((int(ids[i]), int(ids[k])))
+    return out
+
+
+def _links(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by item -> links. Holds one item at a time."""
+    item, held, found = None, [], []
+
+    def close() -> None:
+        if len(held) > 1:
+            held.sort(key=lambda r: r[:2])
+            found.extend(linked(np.array([r[1] for r in held]), np.array([r[0] for r in held]), [r[2] for r in held], threshold))
+        held.clear()
 
     def flush() -> pa.RecordBatch:
         batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
         found.clear()
         return batch
 
-    item = None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[0] != item:
-                found.extend(forest(rows, threshold))
-                rows, item = [], row[0]
-            rows.append(row)
-        if len(found) >= 5000:
-            yield flush()
-    found.extend(forest(rows, threshold))
+        items, sides, ids = (batch.column(c).to_pylist() for c in ("item", "side", "id"))
+        for k, shingles in enumerate(batch.column("shingles")):
+            if items[k] != item:
+                close()
+                item = items[k]
+            held.append((sides[k], ids[k], np.frombuffer(shingles.as_py(), np.uint64)))
+        yield flush()
+    close()
     yield flush()
 
 
-def forest(rows: list[tuple], threshold: Threshold) -> list[tuple[int, int]]:
-    """rows: (item, side, member, n, label, sketch, failed partners). Members of side 0 meet all, those of side 1 only side 0 (if there is one)."""
-    if len(rows) < 2:
-        return []
-    rows = sorted({(r[1], r[2], r[5]): r for r in rows}.values(), key=lambda r: (r[1], r[2]))
-    n = np.array([r[3] for r in rows])
-    side, member, label = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.array([r[4] for r in rows])
-    if (label == label[0]).all():
-        return []
-    sketches = [np.frombuffer(r[5], np.uint64) for r in rows]
-    width = min(map(len, sketches))
-    m = np.stack([fold(s, width) for s in sketches])
-    cross = side.any()
-    left, right, far = [], [], []
-    for i in range(len(rows) - 1):
-        j = np.arange(i + 1, len(rows))
-        j = j[(label[j] != label[i]) & ((side[j] != side[i]) if cross else True)]
-        if not len(j):
-            continue
-        most = threshold.differences(n[i] + n[j])
-        j, most = j[np.abs(n[j] - n[i]) <= most], most[np.abs(n[j] - n[i]) <= most]
-        if not len(j):
-            continue
-        hamming = np.bitwise_count(m[j] ^ m[i]).sum(axis=1, dtype=np.int64)
-        near = hamming <= most
-        left.append(np.full(int(near.sum()), i))
-        right.append(j[near])
-        far.append(hamming[near])
-    if not left:
-        return []
-    left, right, far = np.concatenate(left), np.concatenate(right), np.concatenate(far)
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
-        return x
-
-    failed = [frozenset(r[6] or ()) for r in rows]
-    out = []
-    for k in np.argsort(far, kind="stable").tolist():
-        i, j = int(left[k]), int(right[k])
-        a, b = int(member[i]), int(member[j])
-        if a == b or b in failed[i] or a in failed[j]:
-            continue
-        x, y = root(int(label[i])), root(int(label[j]))
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((min(a, b), max(a, b)))
-    return out
-
-
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("id"), packed(shingle_sets(batch, k), np.uint64)], names=["id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("side"), batch.column("id"), packed(shingle_sets(batch, k), np.uint64)], names=["item", "side", "id", "shingles"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "x", 8 << 20):
-        ok = []
-        for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            ok.append(threshold.den * both >= threshold.num * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("members")]
+        a = np.concatenate([np.repeat(x[:1], len(x)) for x in lists]) if lists else np.zeros(0, np.int64)
+        pairs = np.unique(np.stack([a, np.concatenate(lists) if lists else a]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, similarity: tuple[int, int] = (85, 100)) -> DataFrame:
@@ -275,52 +240,42 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     threshold = Threshold(*similarity)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = materialise(docs.mapInArrow(lambda b: _sketch(b, shingle_words, threshold), "id long, n long, f1 long, f2 long, sketch binary, keys binary"))
+    base = materialise(docs.mapInArrow(lambda b: _sketch(b, shingle_words, threshold), "id long, n long, f1 long, f2 long, keys binary"))
     sets = materialise(base.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("id").alias("id")))
     n_sets = sets.count()
-    members = base.select("id", "n", "f1", "f2", "sketch", "keys").join(small(sets, n_sets), ["id", "f1", "f2", "n"], "left_semi")
-    lists = materialise(members.select("id", "keys").mapInArrow(_by_key, "key long, members binary").repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_lists, "key long, block int, many boolean, members binary"))
-    one, many = lists.where("NOT many").select("members").distinct(), lists.where("many").distinct()
-    other = many.select("key", F.col("block").alias("right_block"), F.col("members").alias("right"))
-    crossed = many.join(other, "key").where("block < right_block").select("members", "right")
-    whole = one.unionByName(many.select("members")).select("members", F.lit(None).cast("binary").alias("right"))
-    items = whole.unionByName(crossed).select(F.xxhash64("members", "right").alias("item"), "members", "right")
-    ids = "array<bigint>"
-    opened = materialise(items.mapInArrow(_open, f"item long, sides {ids}, ids {ids}").select("item", F.explode(F.arrays_zip("sides", "ids")).alias("x")).select("item", F.col("x.sides").cast("int").alias("side"), F.col("x.ids").alias("id")))
-    described = materialise(opened.join(members.select("id", "n", "sketch"), "id").select("item", "side", "id", "n", "sketch"))
-
-    links, failed, groups, todo = None, None, None, described
-    while True:
-        rows = todo.withColumn("label", F.col("id")) if groups is None else todo.join(groups, todo.id == groups.node, "left").withColumn("label", F.coalesce("component", "id"))
-        if failed is None:
-            rows = rows.withColumn("failed", F.lit(None).cast(ids))
-        else:
-            rows = rows.join(failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("failed")), "id", "left")
-        rows = rows.select("item", "side", "id", "n", "label", "sketch", "failed").repartition(F.col("item")).sortWithinPartitions("item")
-        pairs = materialise(rows.mapInArrow(lambda b: _pairs(b, threshold), "a long, b long").distinct())
-        need = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-        shingles = docs.join(small(need), "id", "left_semi").mapInArrow(lambda b: _sets(b, shingle_words), "id long, shingles binary")
-        shingles = materialise(shingles)
-        joined = pairs.join(shingles.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(shingles.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-        verified = materialise(joined.select("a", "b", "x", "y").mapInArrow(lambda b: _verify(b, threshold), "a long, b long, ok boolean").groupBy("a", "b").agg(F.max("ok").alias("ok")))
-        good = verified.where("ok").select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        groups = materialise(components(links))
-        bad = verified.where("NOT ok").select("a", "b")
-        if not bad.take(1):
-            break
-        failed = bad if failed is None else failed.unionByName(bad)
-        again = opened.join(bad.select(F.col("a").alias("id")), "id", "left_semi").select("item").distinct()
-        todo = materialise(described.join(again, "item", "left_semi"))
+    members = base.join(small(sets, n_sets), ["id", "f1", "f2", "n"], "left_semi").select("id", "keys")
+    by_key = members.mapInArrow(_by_key, "key long, members binary").repartition(F.col("key")).sortWithinPartitions("key")
+    lists = materialise(by_key.mapInArrow(_lists, "key long, block int, many boolean, head long, members binary").where("head IS NOT NULL"))
+    stars = lists.select("members").mapInArrow(_stars, "a long, b long")
+    heads = lists.where("many").join(lists.where("many").groupBy("key").agg(F.min("head").alias("a")), "key").select("a", F.col("head").alias("b"))
+    families = materialise(components(stars.unionByName(heads)))
+    sized = families.join(sets.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")), "node").groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    sized = materialise(sized.select("component", ((F.col("members") <= FAMILY[0]) & (F.col("shingles") <= FAMILY[1])).alias("whole")))
+    rows = families.join(sized.where("whole"), "component").select(F.col("component").alias("item"), F.lit(0).alias("side"), F.col("node").alias("id"))
+    if sized.where("NOT whole").take(1):
+        rows = rows.unionByName(_blocks(lists.join(families.join(sized.where("NOT whole"), "component").select(F.col("node").alias("head")), "head", "left_semi")))
+    rows = materialise(rows)
+    shingles = docs.join(small(rows), "id").select("item", "side", "id", "text").mapInArrow(lambda b: _sets(b, shingle_words), "item long, side int, id long, shingles binary")
+    links = shingles.repartition(F.col("item")).sortWithinPartitions("item").mapInArrow(lambda b: _links(b, threshold), "a long, b long")
+    groups = materialise(components(links))
 
     reps = sets.join(small(groups.select(F.col("node").alias("id"), "component")), "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
     out = base.select("id", "n", "f1", "f2").join(small(reps, n_sets), ["f1", "f2", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
+def _blocks(lists: DataFrame) -> DataFrame:
+    """Rows (item, side, id) of all lists and, for lists of several blocks, of each two of them."""
+    many = lists.where("many").select("key", "block", "members").distinct()
+    crossed = many.join(many.select("key", F.col("block").alias("other"), F.col("members").alias("right")), "key").where("block < other").select("members", "right")
+    whole = lists.select("members").distinct().select("members", F.lit(None).cast("binary").alias("right"))
+    opened = whole.unionByName(crossed).select(F.xxhash64("members", "right").alias("item"), "members", "right").mapInArrow(_open, "item long, side int, id long")
+    return opened.distinct()
+
+
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("members")]
-        right = [np.frombuffer(x.as_buffer(), np.int64) if x.is_valid else np.zeros(0, np.int64) for x in batch.column("right")]
-        sides = [np.repeat([0, 1], [len(x), len(y)]) for x, y in zip(left, right, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(sides, pa.list_(pa.int64())), pa.array([np.concatenate([x, y]) for x, y in zip(left, right, strict=True)], pa.list_(pa.int64()))], names=["item", "sides", "ids"])
+        for item, left, right in zip(*(batch.column(c).to_pylist() for c in ("item", "members", "right")), strict=True):
+            for side, raw in enumerate((left, right or b"")):
+                ids = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), item)), pa.array(np.full(len(ids), side, np.int32)), pa.array(ids)], names=["item", "side", "id"])
