@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import exact_dedup, jaccard_join, packing, substring_dedup
+from quillstone.llm import decontaminate, exact_dedup, jaccard_join, language_id, license_scan, packing, quality, secret_scan, substring_dedup, toxicity
+from quillstone.llm.common import crc_bucket
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,14 +26,70 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pack_documents(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    out = packing.pack(documents(spark, sf_dir), str(public_tokenizers.path("word_bpe_49k.json")))
+    out = packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")))
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op4_packing": op4_packing, "op7_exact_dedup": op7_exact_dedup, "op9_substring_dedup": op9_substring_dedup, "op10_jaccard_join": op10_jaccard_join}
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir)).drop("spans")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan_secrets(documents(spark, sf_dir))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s.kind != "crf")
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train_quality(docs, _labels(spark, sf_dir), crc_bucket("doc_id", 5) != 0)
+    out = quality.score_quality(docs, model)
+    return out.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    weights = toxicity.train_toxicity(docs, _labels(spark, sf_dir), crc_bucket("doc_id", 5) != 0)
+    out = toxicity.score_toxicity(docs, weights)
+    return out.select("doc_id", (crc_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    book = language_id.train_codebook(docs, crc_bucket("doc_id", 4) != 2)
+    out = language_id.identify_languages(docs, book)
+    return out.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_quality": op2_quality,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_packing": op4_packing,
+    "op5_decontaminate": op5_decontaminate,
+    "op6_toxicity": op6_toxicity,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
+}
 
 ORACLES = {
     "op7_exact_dedup": r"""
