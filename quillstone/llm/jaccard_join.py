@@ -10,10 +10,11 @@ shingles whose Jaccard similarity is t or more differ in at most (1 - t) / (1 +
    than p - d - 1 of them, since any other pair agrees in a place that isn't.
 2. Documents with identical sets are one member from the start. Keys are grouped per batch before the shuffle; a
    key's group is a list of members, in blocks of bounded size.
-3. Members that lists connect are a family. A family of bounded size is compared in one task, and so each member
-   travels once; the lists of larger families are compared one by one, block against block.
-4. There, one-bit parity sketches (popcount of XOR) prune pairs exactly, by the same bound, and pairs that are left
-   are verified on the shingle sets themselves, unless links have joined them already.
+3. In a list, one-bit parity sketches (popcount of XOR) prune pairs exactly, by the same bound. Pairs that are left
+   join members to families, so that all links lie within families.
+4. A family of bounded size is compared in one task, and each member travels there once: pairs that the sketches
+   leave are verified on the shingle sets themselves, unless links have joined them already. Larger families are
+   compared list by list, block against block.
 5. Groups are the connected components of verified links.
 """
 
@@ -70,11 +71,17 @@ def shingle_sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
 
 
 def parity_bits(shingles: np.ndarray, places: int) -> np.ndarray:
-    """Parity sketch of one bit a place; places is a power of two, 64 or more."""
+    """Parity sketch of one bit a place; places is a power of two. Halves XOR-ed together are the sketch of half the size."""
     odd = np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def fold(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
 def band_keys(shingles: np.ndarray, edges: np.ndarray, threshold: Threshold) -> np.ndarray:
     """Keys of a document's places in its band, and in the next band if a partner can be there."""
     n = len(shingles)
@@ -105,8 +112,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, threshold: Threshold) ->
         sums = np.array([int(np.sum(mix(s), dtype=np.uint64)) if len(s) else 0 for s in sets], np.uint64)
         xors = np.array([int(np.bitwise_xor.reduce(mix(~s))) if len(s) else 0 for s in sets], np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(sizes), pa.array(signed(sums)), pa.array(signed(xors)), packed([band_keys(s, edges, threshold) for s in sets], np.uint64)],
-            names=["id", "n", "f1", "f2", "keys"],
+            [batch.column("id"), pa.array(sizes), pa.array(signed(sums)), pa.array(signed(xors)), packed([parity_bits(s, 1 << max(8, (2 * len(s)).bit_length())) for s in sets], np.uint64), packed([band_keys(s, edges, threshold) for s in sets], np.uint64)],
+            names=["id", "n", "f1", "f2", "sketch", "keys"],
         )
 
 
@@ -163,40 +170,33 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def linked(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], threshold: Threshold) -> list[tuple[int, int]]:
-    """Verified links that join all of these members that links among them join. With two sides, only pairs across count."""
-    if len(ids) < 2:
-        return []
-    sizes, label, cross = np.array([len(s) for s in sets]), np.arange(len(ids)), bool(sides.any())
-    places = 1 << max(9, (4 * int(np.median(sizes))).bit_length())
-    sketches = np.stack([parity_bits(s, places) for s in sets])
-    out = []
+def joined(ids: np.ndarray, sides: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, threshold: Threshold, accept) -> list[tuple[int, int]]:
+    """Accepted pairs that join all of these members that accepted pairs join. With two sides, only pairs across count."""
+    label, cross, out = np.arange(len(ids)), bool(sides.any()), []
     for i in range(len(ids) - 1):
         j = np.arange(i + 1, len(ids))
         j = j[(label[j] != label[i]) & ((sides[j] != sides[i]) if cross else True)]
         most = threshold.differences(sizes[i] + sizes[j])
-        j, most = j[np.abs(sizes[j] - sizes[i]) <= most], most[np.abs(sizes[j] - sizes[i]) <= most]
+        fits = np.abs(sizes[j] - sizes[i]) <= most
+        j, most = j[fits], most[fits]
         if not len(j):
             continue
         hamming = np.bitwise_count(sketches[j] ^ sketches[i]).sum(axis=1, dtype=np.int64)
         for k in j[hamming <= most].tolist():
-            if label[k] == label[i] or ids[k] == ids[i]:
-                continue
-            both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-            if threshold.den * both >= threshold.num * int(sizes[i] + sizes[k] - both):
+            if label[k] != label[i] and ids[k] != ids[i] and accept(i, k):
                 label[label == label[k]] = label[i]
                 out.append((int(ids[i]), int(ids[k])))
     return out
 
 
-def _links(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by item -> links. Holds one item at a time."""
+def _by_item(batches: Iterator[pa.RecordBatch], compare) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by item -> pairs (a, b) that compare finds among an item's rows. Holds one item at a time."""
     item, held, found = None, [], []
 
     def close() -> None:
         if len(held) > 1:
-            held.sort(key=lambda r: r[:2])
-            found.extend(linked(np.array([r[1] for r in held]), np.array([r[0] for r in held]), [r[2] for r in held], threshold))
+            held.sort()
+            found.extend(compare(np.array([r[1] for r in held]), np.array([r[0] for r in held]), [np.frombuffer(r[2], np.uint64) for r in held], np.array([r[3] for r in held])))
         held.clear()
 
     def flush() -> pa.RecordBatch:
@@ -205,28 +205,45 @@ def _links(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[
         return batch
 
     for batch in batches:
-        items, sides, ids = (batch.column(c).to_pylist() for c in ("item", "side", "id"))
-        for k, shingles in enumerate(batch.column("shingles")):
-            if items[k] != item:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("item", "side", "id", "bits", "n")), strict=True):
+            if row[0] != item:
                 close()
-                item = items[k]
-            held.append((sides[k], ids[k], np.frombuffer(shingles.as_py(), np.uint64)))
+                item = row[0]
+            held.append(row[1:])
         yield flush()
     close()
     yield flush()
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("side"), batch.column("id"), packed(shingle_sets(batch, k), np.uint64)], names=["item", "side", "id", "shingles"])
+def _near(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parity sketches are as near as those of linked pairs."""
 
+    def compare(ids, sides, bits, sizes):
+        width = min(map(len, bits))
+        return joined(ids, sides, sizes, np.stack([fold(b, width) for b in bits]), threshold, lambda i, k: True)
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("members")]
-        a = np.concatenate([np.repeat(x[:1], len(x)) for x in lists]) if lists else np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([a, np.concatenate(lists) if lists else a]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+    return _by_item(batches, compare)
+
+
+def _links(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
+    """Pairs whose shingle sets are similar enough."""
+
+    def compare(ids, sides, sets, sizes):
+        places = 1 << max(9, (4 * int(np.median(sizes))).bit_length())
+
+        def accept(i: int, k: int) -> bool:
+            both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+            return threshold.den * both >= threshold.num * int(sizes[i] + sizes[k] - both)
+
+        return joined(ids, sides, sizes, np.stack([parity_bits(s, places) for s in sets]), threshold, accept)
+
+    return _by_item(batches, compare)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        sets = shingle_sets(batch, k)
+        yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("side"), batch.column("id"), packed(sets, np.uint64), pa.array([len(s) for s in sets], pa.int64())], names=["item", "side", "id", "bits", "n"])
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, similarity: tuple[int, int] = (85, 100)) -> DataFrame:
@@ -240,23 +257,25 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     threshold = Threshold(*similarity)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = materialise(docs.mapInArrow(lambda b: _sketch(b, shingle_words, threshold), "id long, n long, f1 long, f2 long, keys binary"))
+    base = materialise(docs.mapInArrow(lambda b: _sketch(b, shingle_words, threshold), "id long, n long, f1 long, f2 long, sketch binary, keys binary"))
     sets = materialise(base.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("id").alias("id")))
     n_sets = sets.count()
-    members = base.join(small(sets, n_sets), ["id", "f1", "f2", "n"], "left_semi").select("id", "keys")
-    by_key = members.mapInArrow(_by_key, "key long, members binary").repartition(F.col("key")).sortWithinPartitions("key")
+    members = base.join(small(sets, n_sets), ["id", "f1", "f2", "n"], "left_semi")
+    by_key = members.select("id", "keys").mapInArrow(_by_key, "key long, members binary").repartition(F.col("key")).sortWithinPartitions("key")
     lists = materialise(by_key.mapInArrow(_lists, "key long, block int, many boolean, head long, members binary").where("head IS NOT NULL"))
-    stars = lists.select("members").mapInArrow(_stars, "a long, b long")
-    heads = lists.where("many").join(lists.where("many").groupBy("key").agg(F.min("head").alias("a")), "key").select("a", F.col("head").alias("b"))
-    families = materialise(components(stars.unionByName(heads)))
+    compared = "a long, b long"
+    described = _blocks(lists).join(members.select("id", "n", F.col("sketch").alias("bits")), "id")
+    near = described.repartition(F.col("item")).sortWithinPartitions("item").mapInArrow(lambda b: _near(b, threshold), compared)
+    families = materialise(components(near))
     sized = families.join(sets.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n")), "node").groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
     sized = materialise(sized.select("component", ((F.col("members") <= FAMILY[0]) & (F.col("shingles") <= FAMILY[1])).alias("whole")))
     rows = families.join(sized.where("whole"), "component").select(F.col("component").alias("item"), F.lit(0).alias("side"), F.col("node").alias("id"))
     if sized.where("NOT whole").take(1):
-        rows = rows.unionByName(_blocks(lists.join(families.join(sized.where("NOT whole"), "component").select(F.col("node").alias("head")), "head", "left_semi")))
+        large = families.join(sized.where("NOT whole"), "component").select(F.col("node").alias("id"))
+        rows = rows.unionByName(_blocks(lists).join(large, "id", "left_semi"))
     rows = materialise(rows)
-    shingles = docs.join(small(rows), "id").select("item", "side", "id", "text").mapInArrow(lambda b: _sets(b, shingle_words), "item long, side int, id long, shingles binary")
-    links = shingles.repartition(F.col("item")).sortWithinPartitions("item").mapInArrow(lambda b: _links(b, threshold), "a long, b long")
+    shingles = docs.join(small(rows), "id").select("item", "side", "id", "text").mapInArrow(lambda b: _sets(b, shingle_words), "item long, side int, id long, bits binary, n long")
+    links = shingles.repartition(F.col("item")).sortWithinPartitions("item").mapInArrow(lambda b: _links(b, threshold), compared)
     groups = materialise(components(links))
 
     reps = sets.join(small(groups.select(F.col("node").alias("id"), "component")), "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
