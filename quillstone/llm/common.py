@@ -13,9 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
-#: Rows of a table that may be broadcast; its size is counted first, and beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Estimated bytes of a table that may be broadcast; its size is measured first, and beyond it the join shuffles.
+BROADCAST_BYTES = 48 << 20
 #: Bytes of text that a worker turns into arrays at once.
 SLICE_BYTES = 2 << 20
 
@@ -47,10 +48,11 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for a broadcast if it has at most limit rows, else leave it to a shuffle join."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df.hint("merge")
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark df, a materialised table, for a broadcast if its measured size is within the limit, else leave it to a merge join."""
+    wide = [f.name for f in df.schema if not isinstance(f.dataType, NumericType | BooleanType)]
+    n, text = df.agg(F.count(F.lit(1)), sum((F.coalesce(F.sum(F.length(F.col(c).cast("string")) if t != "binary" else F.length(c)), F.lit(0)) for c, t in df.dtypes if c in wide), F.lit(0))).first()
+    return F.broadcast(df) if n * (24 + 8 * len(df.columns)) + text <= limit else df.hint("merge")
 
 
 # ---------------------------------------------------------------- Arrow batches

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import BROADCAST_ROWS, materialise, small
+from quillstone.llm.common import BROADCAST_BYTES, materialise, small
 
 WHITESPACE = "[\\x20\\x09-\\x0D]+"
 #: Bits of a remainder. The other 24 are the quotient.
@@ -131,7 +131,7 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
     return fingerprints.mapInArrow(lambda batches: _filters(batches, bits), "slab int, filter binary").groupBy("slab").applyInPandas(_merged, "fp long")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they have the same bytes after white space is normalised. The smallest id of a group stays.
@@ -142,10 +142,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     norm = df.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm")).withColumn("fp", F.xxhash64("norm"))
     rows = materialise(norm.select("id", "fp", F.sha2("norm", 256).alias("sha")))
     repeated = materialise(repeated_fingerprints(rows.select("fp"), rows.count()))
-    again = small(repeated, limit=broadcast_rows)
+    again = small(repeated, broadcast_bytes)
     # Byte verification: the grouping key is the text itself, combined before the shuffle, so that copies travel once per task.
     exact = norm.join(again, "fp", "left_semi").groupBy("fp", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = materialise(exact.select("fp", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size").where("group_size > 1"))
-    out = rows.join(small(groups, limit=broadcast_rows), ["fp", "sha"], "left")
+    out = rows.join(small(groups, broadcast_bytes), ["fp", "sha"], "left")
     keep, size = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")), F.coalesce("group_size", F.lit(1).cast("long"))
     return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -259,8 +259,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = materialise(docs.mapInArrow(lambda b: _sketch(b, shingle_words, threshold), "id long, n long, f1 long, f2 long, sketch binary, keys binary"))
     sets = materialise(base.where("n > 0 AND id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("id").alias("id")))
-    n_sets = sets.count()
-    members = base.join(small(sets, n_sets), ["id", "f1", "f2", "n"], "left_semi")
+    members = base.join(small(sets), ["id", "f1", "f2", "n"], "left_semi")
     by_key = members.select("id", "keys").mapInArrow(_by_key, "key long, members binary").repartition(F.col("key")).sortWithinPartitions("key")
     lists = materialise(by_key.mapInArrow(_lists, "key long, block int, many boolean, head long, members binary").where("head IS NOT NULL"))
     compared = "a long, b long"
@@ -278,8 +277,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links = shingles.repartition(F.col("item")).sortWithinPartitions("item").mapInArrow(lambda b: _links(b, threshold), compared)
     groups = materialise(components(links))
 
-    reps = sets.join(small(groups.select(F.col("node").alias("id"), "component")), "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
-    out = base.select("id", "n", "f1", "f2").join(small(reps, n_sets), ["f1", "f2", "n"], "left")
+    reps = materialise(sets.join(small(groups.select(F.col("node").alias("id"), "component")), "id", "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component")))
+    out = base.select("id", "n", "f1", "f2").join(small(reps), ["f1", "f2", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 

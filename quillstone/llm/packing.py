@@ -158,7 +158,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))).select("task", "length", F.coalesce("before", F.lit(0)).alias("before"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # size rows at most
     rules = spark.createDataFrame(best_fit_decreasing(histogram, size), "length long, lo long, hi long, first long, each long, at long")
-    ranked = pieces.join(small(before), ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
+    ranked = pieces.join(small(materialise(before)), ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth"))
     placed = ranked.join(F.broadcast(rules), (ranked.length == rules.length) & (ranked["rank"] >= rules.lo) & (ranked["rank"] < rules.hi)).drop(rules.length)
     step = F.col("rank") - F.col("lo")
     return placed.select(F.col("id").alias(id_col), "start", "length", "ids", "doc_tokens", (F.col("first") + F.floor(step / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + step % F.col("each") * F.col("length")).alias("offset"))

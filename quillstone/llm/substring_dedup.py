@@ -148,13 +148,19 @@ def factors(spans: list[tuple[int, bytes]], window: int) -> np.ndarray:
     return np.stack([places[first], places[np.append(first[1:], len(places)) - 1] + window], axis=1)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _factored(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """A document's masks -> its factors, as packed pairs of places."""
+    for batch in batches:
+        cuts = [factors([(r["start"], r["mask"]) for r in rows], window) for rows in batch.column("found").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), packed(cuts, np.int64)], names=["id", "cuts"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        texts, found = batch.column("text"), batch.column("found").to_pylist()
         words_, removed, kept, spans = [], [], [], []
-        for text, rows in zip(texts, found, strict=True):
-            words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
-            cuts = factors([(r["start"], r["mask"]) for r in rows], window).tolist() if rows else []
+        for text, raw in zip(batch.column("text"), batch.column("cuts").to_pylist(), strict=True):
+            words = text.as_buffer().to_pybytes().split()
+            cuts = np.frombuffer(raw or b"", np.int64).reshape(-1, 2).tolist()
             words_.append(len(words))
             removed.append(sum(e - s for s, e in cuts))
             spans.append([{"start": s, "end": e} for s, e in cuts])
@@ -177,8 +183,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     plain = docs.select(F.xxhash64("doc", "text").alias("id"), "text")
     counted = plain.mapInArrow(lambda b: _count(b, window, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     repeated = materialise(counted)
-    n_repeated = repeated.count()
-    runs = materialise(plain.mapInArrow(lambda b: _runs(b, window, gram), "id long, start long, anchor long, prints binary").join(small(repeated, n_repeated, 4_000_000), "anchor").select("id", "start", "anchor", "prints", (F.col("n") > hot).alias("hot")))
+    runs = materialise(plain.mapInArrow(lambda b: _runs(b, window, gram), "id long, start long, anchor long, prints binary").join(small(repeated), "anchor").select("id", "start", "anchor", "prints", (F.col("n") > hot).alias("hot")))
     cool = runs.where("NOT hot").select("id", "start", "anchor", "prints").repartition(F.col("anchor")).sortWithinPartitions("anchor")
     found = cool.mapInArrow(_match, "id long, start long, mask binary")
     flat = materialise(runs.where("hot").select("id", "start", "anchor", "prints").mapInArrow(_open, "id long, start long, anchor long, print long"))
@@ -186,7 +191,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         again = flat.groupBy("anchor", "print").count().where("count > 1").select("anchor", "print", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         salted = flat.withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.lit(SALTS)).cast("int")).join(again, ["anchor", "print", "salt"], "left_semi")
         found = found.unionByName(salted.select("id", "start", F.lit(b"\x01").alias("mask")))
-    per_doc = materialise(found.groupBy("id").agg(F.collect_list(F.struct("start", "mask")).alias("found")))
+    per_doc = materialise(found.groupBy("id").agg(F.collect_list(F.struct("start", "mask")).alias("found")).mapInArrow(lambda b: _factored(b, window), "id long, cuts binary"))
     joined = docs.withColumn("id", F.xxhash64("doc", "text")).join(small(per_doc), "id", "left")
-    cut = joined.select(F.col("doc").alias("id"), "text", "found").mapInArrow(lambda b: _cut(b, window), f"id {dict(docs.dtypes)['doc']}, n_words long, n_removed long, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    cut = joined.select(F.col("doc").alias("id"), "text", "cuts").mapInArrow(_cut, f"id {dict(docs.dtypes)['doc']}, n_words long, n_removed long, kept binary, spans array<struct<start:bigint,end:bigint>>")
     return cut.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"), "spans")
