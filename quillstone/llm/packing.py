@@ -13,6 +13,8 @@ themselves, with their ids, are never shuffled for that.
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,15 +28,24 @@ from quillstone.llm.common import materialise, slices, small
 SIZE = 2048
 END_ID = 1
 #: Distinct words whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 600_000
+#: Marks that make a pre-token of their own at the end of a word.
+MARKS = b"!\"#$%&()*+,-./:;=?@[]^_`{|}~"
+
+#: Words of these letters alone are one pre-token, and their normal form is that in lower case.
+LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, through a cache of words.
 
-    Pre-tokens of the vocabulary never span white space, so a text's ids are those of its words in order. ASCII
-    letters are put in lower case first, which the vocabulary's own normaliser does anyway, unless the text may
-    hold a special token.
+    Pre-tokens of the vocabulary never span white space, so a text's ids are those of its words in order; nor do they
+    span a letter and the marks after it, so a word's ids are those of its stem and of the marks at its end. A word of
+    common letters goes to the merge rules directly. ASCII letters are put in lower case first, which the vocabulary's
+    own normaliser does anyway, unless the text may hold a special token.
     """
 
     def __init__(self, path: str):
@@ -42,20 +53,43 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        rest = []
+        for word in fresh:
+            text = word.decode()
+            if LETTERS.fullmatch(text):
+                self.cache[word] = array("I", [t.id for t in self.model.tokenize(text.lower().encode().decode("latin1").translate(BYTE_CHARACTERS))]).tobytes()
+            else:
+                rest.append(word)
+        for lo in range(0, len(rest), 20_000):
+            part = rest[lo : lo + 20_000]
+            for word, coded in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.cache[word] = array("I", coded.ids).tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        fresh = set().union(*words).difference(self.cache) if words else set()
-        if fresh:
-            if len(self.cache) + len(fresh) > CACHE:
-                self.cache, fresh = {}, set().union(*words)
-            fresh = list(fresh)
-            for lo in range(0, len(fresh), 20_000):
-                part = fresh[lo : lo + 20_000]
-                for word, coded in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.cache[word] = np.array(coded.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        cache, used = self.cache, set().union(*words)
+        if len(cache) > CACHE:
+            cache.clear()
+        split, whole = [], set()
+        for word in used:
+            if word not in cache:
+                stem = word.rstrip(MARKS)
+                if len(stem) == len(word) or not stem[-4:].decode(errors="ignore").lower()[-1:].isalnum():
+                    whole.add(word)
+                else:
+                    split.append((word, stem, word[len(stem) :]))
+        for _, stem, tail in split:
+            if stem not in cache:
+                whole.add(stem)
+            if tail not in cache:
+                whole.add(tail)
+        self._learn(list(whole))
+        for word, stem, tail in split:
+            cache[word] = cache[stem] + cache[tail]
+        return [b"".join(map(cache.__getitem__, w)) for w in words]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:
