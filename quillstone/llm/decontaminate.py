@@ -7,9 +7,9 @@ a window and an item that agree on all steps of a repetition are a candidate pai
 the target recall needs. A candidate is verified exactly, by the word edit distance of the item to the best stretch
 around the window.
 
-Windows are those that can match at all. An item of n words with at most d edits keeps, among its d + 1 stretches
-between edits, one of at least (n - d) / (d + 1) words; so only windows around a place where a document has an item's
-phrase of that many words (three at most) are walked, at every offset that d edits allow. That loses no match.
+Windows are those that can match at all. An item of n words and a stretch at most d edits away have at least
+n - q + 1 - q d phrases of q words in common, all of them shifted by no more than d places; so only windows with as
+many hits of an item's phrases near their start are walked, at every offset that d edits allow. That loses no match.
 
 Items are a broadcast of checked size: beyond `block_items` they go block by block, each a pass over the documents.
 """
@@ -42,10 +42,13 @@ def allowed_edits(n: int) -> int:
     return int(EDITS * n)
 
 
-def phrase_words(n: int) -> int:
-    """Words of an unedited stretch that every match of an item of n words has."""
+def phrase_words(n: int) -> tuple[int, int]:
+    """(q, least number of q-word phrases that an item of n words has in common with every match of it)."""
     d = allowed_edits(n)
-    return max(1, min(PHRASE, (n - d) // (d + 1)))
+    for q in range(min(PHRASE, n), 0, -1):
+        if n - q + 1 - q * d > 0:
+            return q, n - q + 1 - q * d
+    raise AssertionError("edits are fewer than words")
 
 
 def sampled_steps(n: int, repetition: int) -> np.ndarray:
@@ -92,17 +95,20 @@ class Index:
             h = words.hashes[words.first[k] : words.first[k + 1]]
             if len(h):
                 self.items[len(self.items)] = (item_id, h)
-        phrases: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         lengths: dict[int, list[int]] = defaultdict(list)
+        hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for k, (_, h) in self.items.items():
-            q = phrase_words(len(h))
-            for j, g in enumerate(grams(h, q).tolist()):
-                phrases[q][g].append((len(h), j))
+            q, _ = phrase_words(len(h))
+            hits[q] += [(g, k, j) for j, g in enumerate(grams(h, q).tolist())]
             lengths[len(h)].append(k)
+        self.lengths = np.array([len(h) for _, h in self.items.values()], np.int64)
+        self.edits = np.array([allowed_edits(n) for n in self.lengths.tolist()], np.int64)
+        self.needed = np.array([phrase_words(n)[1] for n in self.lengths.tolist()], np.int64)
         self.phrases = {}
-        for q, found in phrases.items():
-            keys = np.array(sorted(found), np.uint64)
-            self.phrases[q] = (keys, [sorted(set(found[g])) for g in keys.tolist()])
+        for q, found in hits.items():
+            found.sort()
+            keys, first = np.unique(np.array([g for g, _, _ in found], np.uint64), return_index=True)
+            self.phrases[q] = (keys, np.append(first, len(found)), np.array([k for _, k, _ in found]), np.array([j for _, _, j in found]))
         self.buckets: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for n, members in lengths.items():
             flat = np.concatenate([self.items[k][1] for k in members])
@@ -115,30 +121,32 @@ class Index:
     def windows(self, words: Words) -> dict[int, np.ndarray]:
         """Starts to walk, by item length."""
         out: dict[int, list[np.ndarray]] = defaultdict(list)
-        text_of = None
-        for q, (keys, where) in self.phrases.items():
+        if not len(words.hashes):
+            return {}
+        text_of = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+        for q, (keys, first, item, place) in self.phrases.items():
             g = grams(words.hashes, q)
-            if not len(g) or not len(keys):
+            if not len(g):
                 continue
             at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
             hits = np.flatnonzero(keys[at] == g)
-            if not len(hits):
-                continue
-            text_of = np.searchsorted(words.first, np.arange(len(words.hashes)), "right") - 1 if text_of is None else text_of
             hits = hits[text_of[hits] == text_of[hits + q - 1]]
-            for k in np.unique(at[hits]).tolist():
-                places = hits[at[hits] == k]
-                for n, j in where[k]:
-                    d = allowed_edits(n)
-                    out[n].append((places[:, None] - j + np.arange(-d, d + 1)[None, :]).ravel() * (1 << 20) + np.repeat(text_of[places], 2 * d + 1))
-        found = {}
-        for n, parts in out.items():
-            both = np.unique(np.concatenate(parts))
-            start, text = both >> 20, both & ((1 << 20) - 1)
-            start = np.maximum(start, words.first[text])  # a window may be short of words at the text's begin
-            start = start[start < words.first[text + 1]]
-            found[n] = np.unique(start)
-        return found
+            counts = np.diff(first)[at[hits]]
+            entry = np.repeat(first[at[hits]] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+            k, start, text = item[entry], np.repeat(hits, counts) - place[entry], np.repeat(text_of[hits], counts)
+            order = np.lexsort((start, text, k))
+            k, start, text = k[order], start[order], text[order]
+            last = np.arange(len(k)) + self.needed[k] - 1
+            fits = last < len(k)
+            last = np.minimum(last, max(len(k) - 1, 0))
+            fits &= (k[last] == k) & (text[last] == text) & (start[last] - start <= 2 * self.edits[k])
+            for n in np.unique(self.lengths[k[fits]]).tolist():
+                mine = fits & (self.lengths[k] == n)
+                d = allowed_edits(n)
+                around = start[mine][:, None] + np.arange(-d, 2 * d + 1)[None, :]
+                lo, hi = words.first[text[mine]][:, None], words.first[text[mine] + 1][:, None] - 1
+                out[n].append(np.clip(around, lo, hi).ravel())  # a window may be short of words at its text's ends
+        return {n: np.unique(np.concatenate(parts)) for n, parts in out.items()}
 
 
 def _search(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
