@@ -8,7 +8,8 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+
+from quillstone.functions.udf import arrow_udf
 
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
@@ -26,10 +27,10 @@ def strip_html(html: Column) -> Column:
 
 def hrefs(html: Column) -> Column:
     """All href values of anchors, as written."""
-    return F.regexp_extract_all(html, F.lit(r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"'#]+)[\"']"), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(r"(?i)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"'#]+)(?:#[^\"']*)?[\"']"), F.lit(1))
 
 
-@pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def _resolve(base: pd.Series, found: pd.Series) -> pd.Series:
     def one(b, links):
         out = []
@@ -128,7 +129,7 @@ def table_lines(html: str) -> list[str]:
     return out
 
 
-@pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def table_texts(html: pd.Series) -> pd.Series:
     return html.map(table_lines)
 
@@ -186,7 +187,7 @@ def section_text(html: str, wanted: str) -> str | None:
     return " ".join(" ".join(parser.text).split()) if parser.start is not None else None
 
 
-@pandas_udf("string")
+@arrow_udf("string")
 def section_texts(html: pd.Series, wanted: pd.Series) -> pd.Series:
     return pd.Series([None if h is None else section_text(h, w) for h, w in zip(html, wanted, strict=True)])
 
@@ -194,7 +195,7 @@ def section_texts(html: pd.Series, wanted: pd.Series) -> pd.Series:
 TOC = "array<struct<place:int,parent:int,level:int,id:string,link:string,heading:string,has_children:boolean>>"
 
 
-@pandas_udf(TOC)
+@arrow_udf(TOC)
 def contents_tree(html: pd.Series) -> pd.Series:
     """Items of nested lists: place, place of the parent item, level from 1, id, link, heading, whether there are children."""
 

@@ -9,7 +9,8 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+
+from quillstone.functions.udf import arrow_udf
 
 # ---------------------------------------------------------------- normalising and terms
 
@@ -87,10 +88,14 @@ def english_stem(word: str) -> str:
             if _measure(stem) > (0 if into else 1) and not (end == "ion" and not stem.endswith(("s", "t"))):
                 word = stem + into
             break
-    return word[:-1] if word.endswith("e") and _measure(word[:-1]) > 1 else word
+    if word.endswith("e"):
+        stem = word[:-1]
+        if _measure(stem) > 1 or (_measure(stem) == 1 and not re.search("[^aeiouy][aeiouy][^aeiouwxy]$", stem)):
+            word = stem
+    return word
 
 
-@pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def english_lexemes(text: pd.Series) -> pd.Series:
     """Stemmed ASCII words without stop words, in order and with repeats."""
     seen: dict[str, str] = {}
@@ -191,7 +196,7 @@ def excerpt(text: str, terms: list[str], budget: int = 1500, head: int = 300, ra
 def excerpts(budget: int = 1500, head: int = 300, radius: int = 160):
     """excerpt() as a vectorised function of (text, array of terms)."""
 
-    @pandas_udf("string")
+    @arrow_udf("string")
     def run(text: pd.Series, terms: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else excerpt(t, list(q) if q is not None else [], budget, head, radius) for t, q in zip(text, terms, strict=True)])
 
@@ -297,7 +302,7 @@ def rewrite_citations(answer: str, labels: dict[str, str]) -> str:
     return re.sub(r"\s+([.,;:])", r"\1", re.sub(r"[ \t]{2,}", " ", "".join(out))).strip()
 
 
-@pandas_udf("string")
+@arrow_udf("string")
 def rewritten_citations(answer: pd.Series, labels: pd.Series) -> pd.Series:
     """rewrite_citations() over (answer, map of chunk id to label)."""
     return pd.Series([None if a is None else rewrite_citations(a, dict(m) if m is not None else {}) for a, m in zip(answer, labels, strict=True)])
@@ -330,7 +335,7 @@ def is_refusal(answer: Column) -> Column:
     return F.coalesce(F.trim(answer) == "", F.lit(True)) | reduce(lambda a, b: a | b, (F.coalesce(answer, F.lit("")).rlike("(?i)" + p) for p in REFUSALS))
 
 
-@pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def answer_tokens(text: pd.Series) -> pd.Series:
     """Lower-case NFKD tokens of a-z and 0-9, synonyms as one."""
     return text.map(lambda t: [_CANON.get(w, w) for w in re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", (t or "").lower())).split()])

@@ -8,7 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+
+from quillstone.functions.udf import arrow_udf
 
 
 def _double(v: Column) -> Column:
@@ -45,7 +46,7 @@ def encode_text(text: str, width: int = 384) -> np.ndarray:
 def encoder(width: int = 384):
     """encode_text() as a vectorised column function; null text gives a null vector."""
 
-    @pandas_udf("array<float>")
+    @arrow_udf("array<float>")
     def run(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if t is None else encode_text(t, width).astype("float32"))
 

@@ -20,8 +20,8 @@ def grade(cases: DataFrame, answers: DataFrame) -> DataFrame:
     contains and not_contains are tolerant (synonyms, order, 0.8 of the words); cites wants a chunk; is_refusal and not_refusal.
     """
     opened = cases.select(F.col("id").alias("case_id"), "category", F.explode("criteria").alias("c"))
-    joined = opened.join(answers, "case_id", "left")
-    holds = T.tolerant_contains(T.answer_tokens(F.coalesce("answer", F.lit(""))), T.answer_tokens(F.coalesce(F.col("c.check.value"), F.lit(""))))
+    joined = opened.join(answers, "case_id", "left").withColumn("__said", T.answer_tokens(F.coalesce("answer", F.lit("")))).withColumn("__want", T.answer_tokens(F.coalesce(F.col("c.check.value"), F.lit(""))))
+    holds = T.tolerant_contains(F.col("__said"), F.col("__want"))
     cites = F.coalesce(F.array_contains("cited_chunk_ids", F.col("c.check.chunk_id")), F.lit(False))
     kind = F.col("c.check.type")
     passed = F.when(kind == "contains", holds).when(kind == "not_contains", ~holds).when(kind == "cites", cites).when(kind == "is_refusal", T.is_refusal(F.col("answer"))).when(kind == "not_refusal", ~T.is_refusal(F.col("answer"))).otherwise(False)

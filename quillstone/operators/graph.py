@@ -119,7 +119,7 @@ def crawl_state(visited: DataFrame, frontier: DataFrame) -> DataFrame:
 
 def change_action(known: Column, validator: Column, stored_validator: Column, content_hash: Column, stored_hash: Column) -> Column:
     """new; skip (same validator, body not read); touch (same hash) or changed."""
-    clean = lambda v: F.lower(F.regexp_replace(F.coalesce(v, F.lit("")), r'^w/|"|\s', ""))
+    clean = lambda v: F.regexp_replace(F.lower(F.coalesce(v, F.lit(""))), r'^w/|"|\s', "")
     same = (clean(validator) != "") & (clean(validator) == clean(stored_validator))
     return F.when(~known, "new").when(same, "skip").when(content_hash.eqNullSafe(stored_hash), "touch").otherwise("changed")
 

@@ -78,8 +78,8 @@ def vector_top_k_lsh(df: DataFrame, id_col: str, vector: str, query: Sequence[fl
     length = V.norm(F.col(vector))
     near = F.lit(False)
     for p, s in zip(planes, shifts, strict=True):
-        bucket = F.floor((V.dot(F.col(vector), F.array(*[F.lit(float(x)) for x in p])) / length + float(s)) / width)
-        near = near | (bucket == F.lit(int(np.floor((q @ p + s) / width))))
+        bucket = F.floor((V.dot(F.col(vector), F.array(*[F.lit(float(x)) for x in p])) / F.nullif(length, F.lit(0.0)) + float(s)) / width)
+        near = near | F.coalesce(bucket == F.lit(int(np.floor((q @ p + s) / width))), F.lit(False))
     return vector_top_k(df.where(F.col(vector).isNotNull() & near), id_col, vector, query, k)
 
 

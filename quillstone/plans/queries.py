@@ -528,7 +528,7 @@ def html_strip(spark, d):
     return read(spark, d, "pages").select("page_id", F.md5(H.strip_html(F.col("html"))).alias("digest"))
 
 
-@query("link_extract", r"""SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"''#]+)["'']', 1)) AS href FROM pages""")
+@query("link_extract", r"""SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"''#]+)(?:#[^"'']*)?["'']', 1)) AS href FROM pages""")
 def link_extract(spark, d):
     return read(spark, d, "pages").select("page_id", F.explode(H.hrefs(F.col("html"))).alias("href"))
 
