@@ -16,6 +16,7 @@ Items are a broadcast of checked size: beyond `block_items` they go block by blo
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ SAMPLED = 3
 REPETITIONS = 32
 BLOCK_ITEMS = 20_000
 PHRASE = 3
+#: Windows whose walks go side by side.
+WALKS = 1024
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _STEP = _rng.integers(1, 1 << 63, 1 << 16, dtype=np.uint64)
@@ -57,18 +60,36 @@ def sampled_steps(n: int, repetition: int) -> np.ndarray:
     return np.sort(rng.choice(max(SAMPLED, int(1.6 * n)), SAMPLED, replace=False))
 
 
-def walk_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int, repetition: int) -> np.ndarray:
-    """Bucket keys of the windows of n words at starts (cut at ends, where the walk sees padding)."""
-    steps = sampled_steps(n, repetition)
-    pointer, stop, salt = starts.copy(), np.minimum(starts + n, ends), _REPETITION[repetition % 256]
-    key = np.full(len(starts), np.uint64(n), np.uint64)
-    keep = set(steps.tolist())
-    for step in range(int(steps[-1]) + 1):
-        seen = np.where(pointer < stop, hashes[np.minimum(pointer, len(hashes) - 1)], np.uint64(0))
-        if step in keep:
-            key = mix(key ^ seen) + _STEP[step]
-        pointer += ((mix(seen ^ _STEP[step] ^ salt) >> np.uint64(63)).astype(np.int64)) & (pointer < stop)
-    return key
+def kept_steps(lengths: list[int]) -> np.ndarray:
+    """Mask (length, repetition, step) of the steps that each repetition keeps for items of each length."""
+    steps = [[sampled_steps(n, r) for r in range(REPETITIONS)] for n in lengths]
+    out = np.zeros((len(lengths), REPETITIONS, 1 + max((int(s[-1]) for row in steps for s in row), default=0)), bool)
+    for k, row in enumerate(steps):
+        for r, s in enumerate(row):
+            out[k, r, s] = True
+    return out
+
+
+def walk_keys(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: np.ndarray, lengths: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Bucket keys (window, repetition) of the windows of lengths[which] words at starts (cut at ends, where walks see padding)."""
+    out = np.empty((len(starts), REPETITIONS), np.uint64)
+    for lo in range(0, len(starts), WALKS):
+        part = slice(lo, lo + WALKS)
+        n, keep = lengths[which[part]], kept[which[part]]
+        pointer = np.repeat(starts[part][:, None], REPETITIONS, axis=1)
+        stop = np.minimum(starts[part] + n, ends[part])[:, None]
+        key = np.repeat(n.astype(np.uint64)[:, None], REPETITIONS, axis=1)
+        for step in range(kept.shape[2]):
+            if step and not keep[:, :, step:].any():
+                break
+            inside = pointer < stop
+            seen = np.where(inside, hashes[np.minimum(pointer, len(hashes) - 1)], np.uint64(0))
+            now = keep[:, :, step]
+            if now.any():
+                key = np.where(now, mix(key ^ seen) + _STEP[step], key)
+            pointer += (mix(seen ^ _STEP[step] ^ _REPETITION[None, :REPETITIONS]) >> np.uint64(63)).astype(np.int64) & inside
+        out[part] = key
+    return out
 
 
 def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -109,14 +130,16 @@ class Index:
             found.sort()
             keys, first = np.unique(np.array([g for g, _, _ in found], np.uint64), return_index=True)
             self.phrases[q] = (keys, np.append(first, len(found)), np.array([k for _, k, _ in found]), np.array([j for _, _, j in found]))
+        self.sizes = np.array(sorted(lengths), np.int64)
+        self.kept = kept_steps(self.sizes.tolist())
         self.buckets: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for n, members in lengths.items():
-            flat = np.concatenate([self.items[k][1] for k in members])
-            starts = np.arange(len(members)) * n
+        for which, n in enumerate(self.sizes.tolist()):
+            members = np.array(lengths[n])
+            flat, starts = np.concatenate([self.items[k][1] for k in lengths[n]]), np.arange(len(members)) * n
+            keys = walk_keys(flat, starts, starts + n, np.full(len(members), which), self.sizes, self.kept)
             for r in range(REPETITIONS):
-                keys = walk_keys(flat, starts, starts + n, n, r)
-                order = np.argsort(keys, kind="stable")
-                self.buckets[n, r] = (keys[order], np.array(members)[order])
+                order = np.argsort(keys[:, r], kind="stable")
+                self.buckets[n, r] = (keys[order, r], members[order])
 
     def windows(self, words: Words) -> dict[int, np.ndarray]:
         """Starts to walk, by item length."""
@@ -149,19 +172,26 @@ class Index:
         return {n: np.unique(np.concatenate(parts)) for n, parts in out.items()}
 
 
-def _search(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
-    index = Index(items)
+@functools.lru_cache(maxsize=2)
+def _index(items: tuple[tuple[int, str], ...]) -> Index:
+    """Built once a worker process, not once a task."""
+    return Index(list(items))
+
+
+def _search(batches: Iterator[pa.RecordBatch], items: tuple[tuple[int, str], ...]) -> Iterator[pa.RecordBatch]:
+    index = _index(items)
     for batch in slices(batches):
         words = Words(*text_bytes(batch.column("text")), ALNUM, LOWER)
         h, rows = words.hashes, []
         near: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for n, starts in index.windows(words).items():
+        found = index.windows(words)
+        for n, starts in found.items():
             text = np.searchsorted(words.first, starts, "right") - 1
-            ends = words.first[text + 1]
+            which = int(np.searchsorted(index.sizes, n))
+            keys = walk_keys(h, starts, words.first[text + 1], np.full(len(starts), which), index.sizes, index.kept)
             for r in range(REPETITIONS):
-                keys, members = index.buckets[n, r]
-                got = walk_keys(h, starts, ends, n, r)
-                lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
+                known, members = index.buckets[n, r]
+                lo, hi = np.searchsorted(known, keys[:, r], "left"), np.searchsorted(known, keys[:, r], "right")
                 for w in np.flatnonzero(hi > lo).tolist():
                     for k in members[lo[w] : hi[w]].tolist():
                         near[int(text[w]), k].append(int(starts[w]))
@@ -197,7 +227,7 @@ def find_items(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     kind = f"id {dict(docs.dtypes)['id']}, item_id long, edits long, end_word long, item_words long"
     out = None
     for block in range(blocks):
-        part = [(r.k, r.t) for r in wanted.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == block).distinct().orderBy("k", "t").collect()]
+        part = tuple((r.k, r.t) for r in wanted.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == block).distinct().orderBy("k", "t").collect())
         found = docs.mapInArrow(lambda b, part=part: _search(b, part), kind)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
