@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -18,7 +20,7 @@ from pyspark.sql.types import BooleanType, NumericType
 #: Estimated bytes of a table that may be broadcast; its size is measured first, and beyond it the join shuffles.
 BROADCAST_BYTES = 48 << 20
 #: Bytes of text that a worker turns into arrays at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 M1 = np.uint64(0xBF58476D1CE4E5B9)
 M2 = np.uint64(0x94D049BB133111EB)
@@ -68,6 +70,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(lo, hi - lo)
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: Python workers are reused by later stages."""
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from quillstone.llm.common import ALNUM, LOWER, hash_sample, slices, text_bytes
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3, 4)
 #: Documents of the training sample.
-TRAIN_DOCS = 6000
+TRAIN_DOCS = 4000
 #: Gap of softmax shares below which a text is ambiguous.
 AMBIGUOUS = 0.1
 UNKNOWN = "und"
@@ -125,15 +125,15 @@ class Codebook:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, most=1 << 20):
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
+    for batch in slices(batches, most=512 << 10):
+        for lo in range(0, batch.num_rows, 200):
+            part = batch.slice(lo, 200)
             x = frequencies(*text_bytes(part.column("text"))).astype(np.float16)
             yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
 
 def _identify(batches: Iterator[pa.RecordBatch], book: Codebook) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+    for batch in slices(batches, most=512 << 10):
         best, share, lead = book.decode(book.bits(*text_bytes(batch.column("text"))))
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([book.languages[k] for k in best], pa.string()), pa.array(share), pa.array(lead < AMBIGUOUS)], names=["id", "lang", "score", "ambiguous"])
 

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialise, slices, small
+from quillstone.llm.common import materialise, slices, small, trim
 
 SIZE = 2048
 END_ID = 1
 #: Distinct words whose ids a worker remembers.
-CACHE = 600_000
+CACHE = 300_000
 #: Marks that make a pre-token of their own at the end of a word.
 MARKS = b"!\"#$%&()*+,-./:;=?@[]^_`{|}~"
 
@@ -95,7 +95,7 @@ class Encoder:
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:
     encode, end, step = Encoder(path), np.array([end_id], "<u4").tobytes(), 4 * size
     seen = np.zeros(size + 1, np.int64)
-    for batch in slices(batches, most=4 << 20):
+    for batch in slices(batches, most=2 << 20):
         rows = []
         for k, ids in enumerate(encode([t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text")])):
             ids += end
@@ -106,6 +106,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int
                 seen[length] += 1
         column = lambda j, kind: pa.array([r[j] for r in rows], kind)
         yield pa.RecordBatch.from_arrays([batch.column("id").take(column(0, pa.int64())), column(1, pa.int64()), column(2, pa.int64()), column(3, pa.binary()), column(4, pa.int64()), column(5, pa.int64())], names=["id", "start", "length", "ids", "doc_tokens", "nth"])
+    encode.cache.clear()
+    trim()
 
 
 class OpenWindows:
