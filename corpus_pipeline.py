@@ -27,8 +27,8 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (4-word shingles, Jaccard similarity 0.85 or more, linked in chains) the document of smallest id."""
-    groups = jaccard_join.jaccard_components(docs)
+    """Of near copies (5-word shingles, Jaccard similarity 0.8 or more, linked in chains) the document of smallest id."""
+    groups = jaccard_join.jaccard_components(docs, shingle_words=5, similarity=(80, 100))
     return _one_row_each(docs, materialise(groups.where("component_id <> doc_id").select("doc_id").distinct()))
 
 

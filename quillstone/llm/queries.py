@@ -18,7 +18,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(documents(spark, sf_dir))
+    return jaccard_join.jaccard_components(documents(spark, sf_dir), shingle_words=4, similarity=(85, 100))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

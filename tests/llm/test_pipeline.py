@@ -47,3 +47,14 @@ def test_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
     assert {r.doc_id for r in packed} == ids["decontaminate"]
     assert len(packed) == len(corpus_pipeline.run(spark, DATA).collect())
+
+
+def test_near_copies_of_five_words(spark):
+    """Near copies by 5-word shingles and 0.8 go, also those below 0.85 by 4-word shingles; a text below 0.8 stays."""
+    base = [f"w{k}" for k in range(200)]
+    replaced = list(base)
+    for k in (30, 70, 110, 150):
+        replaced[k] = f"x{k}"
+    rows = [(1, base), (2, base + [f"y{k}" for k in range(40)]), (3, replaced), (4, base + [f"z{k}" for k in range(60)])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, docs, DATA).collect()} == {1, 4}
