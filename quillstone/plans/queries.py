@@ -10,6 +10,7 @@ from quillstone.functions import html as H
 from quillstone.functions import structured as S
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
+from quillstone.llm.common import materialise, small
 from quillstone.operators import chunking, constraints, evaluation, graph, relational, retrieval, temporal
 from quillstone.plans.registry import query
 from quillstone.streaming import queue, windows
@@ -508,9 +509,13 @@ b AS (SELECT item_id, list_distinct(list_filter(string_split(regexp_replace(lowe
 SELECT doc_id, item_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 9) AS similarity FROM t JOIN b ON item_id = doc_id % 40""",
 )
 def jaccard_near_dups(spark, d):
-    a = read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), T.content_tokens(F.col("text")).alias("a"))
-    b = read(spark, d, "benchmark").select("item_id", T.content_tokens(F.col("text")).alias("b"))
-    return a.join(b, "item_id").select("doc_id", "item_id", F.round(T.jaccard(F.col("a"), F.col("b")), 9).alias("similarity"))
+    """Every document with every item that shares a content token with it; all other pairs have similarity 0 and no row."""
+    a = read(spark, d, "documents").select("doc_id", F.monotonically_increasing_id().alias("row"), T.content_tokens(F.col("text")).alias("a"))
+    b = read(spark, d, "benchmark").select("item_id", F.monotonically_increasing_id().alias("item"), T.content_tokens(F.col("text")).alias("b"))
+    items = small(materialise(b.select("item_id", "item", F.size("b").alias("n_b"), F.explode("b").alias("token"))))
+    shared = a.select("doc_id", "row", F.size("a").alias("n_a"), F.explode("a").alias("token")).join(items, "token")
+    both = shared.groupBy("row", "doc_id", "n_a", "item", "item_id", "n_b").agg(F.count(F.lit(1)).alias("n"))
+    return both.select("doc_id", "item_id", F.round(F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n")), 9).alias("similarity"))
 
 
 @query("snippets", "SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '…' ELSE text END AS snippet FROM documents")
