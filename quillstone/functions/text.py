@@ -131,7 +131,8 @@ def sentences(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: F.length(w) > 0))
+    """Runs of anything but ASCII white space."""
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: F.length(w) > 0))
 
 
 def token_estimate(text: Column) -> Column:

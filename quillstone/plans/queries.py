@@ -484,7 +484,7 @@ def constraint_report(spark, d):
 
 @query("normalized_text", r"""SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents WHERE NOT regexp_matches(text, '\d,\d')""")
 def normalized_text(spark, d):
-    return read(spark, d, "documents").where(~F.col("text").rlike(r"[0-9],[0-9]")).select("doc_id", F.md5(T.normalized_text(F.col("text"))).alias("digest"))
+    return read(spark, d, "documents").select("doc_id", F.md5(T.normalized_text(F.col("text"))).alias("digest"))
 
 
 @query("query_terms", r"""SELECT doc_id, len(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) > 2 AND x NOT IN ('a','an','and','are','at','county','current','currently','different','for','in','is','it','latest','now','of','rate','the','this','today','value','was','what','whats','year') AND NOT regexp_full_match(x, '(19|20)[0-9]{2}'))))::INT AS terms FROM documents""")
@@ -494,7 +494,7 @@ def query_terms(spark, d):
 
 @query("token_estimate", r"""SELECT doc_id, ceil(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) * 1.3)::INT AS tokens FROM documents WHERE regexp_full_match(text, '[\x00-\x7F\x{C0}-\x{FF}]*')""")
 def token_estimate(spark, d):
-    return read(spark, d, "documents").where(F.col("text").rlike(r"^[\x00-\x7F\x{C0}-\x{FF}]*$")).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+    return read(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query("sentence_count", r"""SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n{2,}'), lambda x: trim(x, E' \t\n\r\x0b\x0c') <> ''))::INT AS sentences FROM documents""")

@@ -1,5 +1,7 @@
 """Queries over small tables of their own, against plain versions: no row is left out."""
 
+import hashlib
+import math
 import re
 
 from quillstone.plans import queries
@@ -24,3 +26,13 @@ def tokens(text):
 def test_near_dups_of_all_pairs(spark, tmp_path):
     pairs = [(i, k, tokens(t), tokens(u)) for i, t in DOCS for k, u in ITEMS]
     assert rows(spark, tmp_path, "jaccard_near_dups") == sorted((i, k, round(len(x & y) / len(x | y), 9)) for i, k, x, y in pairs if x & y)
+
+
+def test_normalized_text_of_all_documents(spark, tmp_path):
+    plain = lambda t: " ".join(re.findall("[a-z0-9]+", re.sub("(?<=[0-9]),(?=[0-9])", "", (t or "").lower())))
+    assert plain(DOCS[7][1]) == "it cost 1200300 or 123 and 4 5"
+    assert rows(spark, tmp_path, "normalized_text") == sorted((i, hashlib.md5(plain(t).encode()).hexdigest()) for i, t in DOCS)
+
+
+def test_token_estimate_of_all_documents(spark, tmp_path):
+    assert rows(spark, tmp_path, "token_estimate") == sorted((i, math.ceil(len(re.findall("[^ \t\n\x0b\f\r]+", t or "")) * 1.3)) for i, t in DOCS)
