@@ -5,6 +5,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +25,18 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row of smallest id."""
-    return _one_row_each(docs, materialise(exact_dedup.exact_dedup(docs).where("NOT kept").select("doc_id").distinct()))
+    return _one_row_each(docs, lambda keyed: exact_dedup.exact_dedup(keyed, "__row").where("group_size > 1").select("__row", F.col("keep_id").alias("__group")))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies (5-word shingles, Jaccard similarity 0.8 or more, linked in chains) the document of smallest id."""
-    groups = jaccard_join.jaccard_components(docs, shingle_words=5, similarity=(80, 100))
-    return _one_row_each(docs, materialise(groups.where("component_id <> doc_id").select("doc_id").distinct()))
+
+    def groups(keyed: DataFrame) -> DataFrame:
+        found = jaccard_join.jaccard_components(keyed, "__row", shingle_words=5, similarity=(80, 100))
+        linked = materialise(found.where("component_id <> __row").select("__row", F.col("component_id").alias("__group")))
+        return linked.unionByName(linked.select(F.col("__group").alias("__row"), "__group").distinct())
+
+    return _one_row_each(docs, groups)
 
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +49,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-def _one_row_each(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+def _one_row_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of each group one row, that of smallest id (null ids last). groups: docs with a unique key __row -> __row, __group of the rows in groups."""
+    keyed = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
+    rows = materialise(keyed.select("__row", "doc_id").join(small(materialise(groups(keyed))), "__row"))
+    first = rows.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")).select("__group", F.col("first.__row").alias("__kept"))
+    gone = materialise(rows.join(small(materialise(first)), "__group").where("__row <> __kept").select("__row"))
+    return keyed.join(small(gone), "__row", "left_anti").select(docs.columns)
 
 
 STAGES = [

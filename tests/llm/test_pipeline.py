@@ -58,3 +58,14 @@ def test_near_copies_of_five_words(spark):
     rows = [(1, base), (2, base + [f"y{k}" for k in range(40)]), (3, replaced), (4, base + [f"z{k}" for k in range(60)])]
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, docs, DATA).collect()} == {1, 4}
+
+
+def test_dedup_decides_by_row(spark):
+    """Repeated ids with different texts, rows that repeat both, and null ids."""
+    text = lambda k, more=0: " ".join(f"{k}{i}" for i in range(100 + more))
+    rows = [(1, text("a")), (5, text("a")), (5, text("b")), (7, text("c")), (7, text("c")), (None, text("d")), (None, text("d")), (None, text("a")), (None, text("e"))]
+    kept = [(1, text("a")), (5, text("b")), (7, text("c")), (None, text("d")), (None, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.keep_first_copies(spark, docs, DATA).collect()), key=repr) == sorted(kept, key=repr)
+    near = spark.createDataFrame([*rows, (None, text("b", 9)), (9, text("c", 9))], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.keep_one_of_each_group(spark, near, DATA).collect()), key=repr) == sorted(kept, key=repr)
