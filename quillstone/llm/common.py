@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import shutil
 import tempfile
 import uuid
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
@@ -33,9 +34,11 @@ BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a folder of our own, but only for a local master."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         where = tempfile.mkdtemp(prefix="quillstone-")
         atexit.register(shutil.rmtree, where, True)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -47,14 +50,73 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quillstone/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise wrote and that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def lean_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) -> None:
+    """Keep Arrow batches to Python small for the session, unless its owner has set sizes: executors hold them outside the heap."""
+    for name, usual, ours in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", str(64 << 20), str(size))):
+        full = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(full).rstrip("bB") == usual:
+            spark.conf.set(full, ours)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Mark df, a materialised table, for a broadcast if its measured size is within the limit, else leave it to a merge join."""
-    wide = [f.name for f in df.schema if not isinstance(f.dataType, NumericType | BooleanType)]
-    n, text = df.agg(F.count(F.lit(1)), sum((F.coalesce(F.sum(F.length(F.col(c).cast("string")) if t != "binary" else F.length(c)), F.lit(0)) for c, t in df.dtypes if c in wide), F.lit(0))).first()
-    return F.broadcast(df) if n * (24 + 8 * len(df.columns)) + text <= limit else df.hint("merge")
+    fixed = {f.name for f in df.schema if isinstance(f.dataType, NumericType | BooleanType)}
+    kinds = dict(df.dtypes)
+    sizes = [F.length(c) if kinds[c] in ("binary", "string") else F.length(F.col(c).cast("string")) for c in df.columns if c not in fixed]
+    text = sum((F.coalesce(F.sum(x), F.lit(0)) for x in sizes), F.lit(0))
+    rows, letters = df.agg(F.count(F.lit(1)), text).first()
+    return F.broadcast(df) if rows * (24 + 8 * len(df.columns)) + letters <= limit else df.hint("merge")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """A row by its content: (id is null, id, two 64-bit hashes of id and text). Keys sort by id, null ids last."""
+    both = (F.col(id_col).cast("string"), F.col(text_col))
+    hashes = (F.xxhash64(F.col(id_col).isNull(), *both), F.xxhash64(F.lit("second"), *both))
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), hashes[0].alias("h1"), hashes[1].alias("h2"))
+
+
+def one_row_each(df: DataFrame, id_col: str, text_col: str, classes) -> DataFrame:
+    """df with one row of each class, that of smallest key: smallest id, null ids last. All columns stay.
+
+    classes: (df of a column row with the keys and a column text) -> row, class (the smallest key in it) of all rows
+    in classes of two rows or more. Rows that repeat id and text have one key; one of them stays.
+    """
+    h1, h2 = fresh(df, "__h1", "__h2")
+    key = row_key(id_col, text_col)
+    found = materialise(classes(df.select(key.alias("row"), F.col(text_col).alias("text"))).select(F.col("row.h1").alias(h1), F.col("row.h2").alias(h2), (F.col("row") == F.col("class")).alias("stays")))
+    gone = materialise(found.where("NOT stays").select(h1, h2).distinct())
+    again = materialise(found.where("stays").groupBy(h1, h2).count().where("count > 1").select(h1, h2))
+    discard(found)
+    left = df.withColumns({h1: key.h1, h2: key.h2}).join(small(gone), [h1, h2], "left_anti")
+    if again.take(1):
+        twice = small(again)
+        left = left.join(twice, [h1, h2], "left_anti").unionByName(left.join(twice, [h1, h2], "left_semi").dropDuplicates([h1, h2]))
+    return left.select(df.columns)
 
 
 # ---------------------------------------------------------------- Arrow batches
@@ -62,6 +124,7 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about most bytes of text; a longer text stands alone."""
+    _lean()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -73,8 +136,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     trim()
 
 
+@functools.cache
+def _lean() -> None:
+    """Once a worker: large arrays get pages of their own, which go back to the system when they are freed."""
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no mallopt
+        libc = ctypes.CDLL("libc.so.6")
+        for what, value in ((-3, 1 << 20), (-1, 1 << 20), (-8, 1)):  # mmap threshold, trim threshold, arenas
+            libc.mallopt(what, value)
+
+
 def trim() -> None:
     """Give freed memory back to the system: Python workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
@@ -122,21 +195,21 @@ PLAIN_LOWER = bytes(LOWER.tolist())
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _BYTE64 = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
+@functools.cache
+def _all_powers(inverse: bool) -> np.ndarray:
+    steps = np.full(2 * SLICE_BYTES + 1, BASE_INV if inverse else BASE, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     """BASE**0 .. BASE**(n-1), or those of its inverse, modulo 2**64."""
-    key = "inverse" if inverse else "base"
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        steps = np.full(size, BASE_INV if inverse else BASE, np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if size <= 4 * SLICE_BYTES:
-            _powers[key] = have
-    return have[:n]
+    have = _all_powers(inverse)
+    if n <= len(have):
+        return have[:n]
+    steps = np.full(n, BASE_INV if inverse else BASE, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -153,25 +226,18 @@ class Words:
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, inside: np.ndarray, fold: np.ndarray = IDENTITY, hashed: bool = True):
         self.data, self.offs = data, offs
-        if not len(data):
-            self.starts = self.ends = np.zeros(0, np.int64)
-            self.first = np.zeros(len(offs), np.int64)
-            self.hashes = np.zeros(0, np.uint64)
-            return
-        word = inside[data]
-        edge = np.zeros(len(data) + 1, bool)
-        edge[offs] = True
-        gap = ~word
-        before = np.empty(len(data), bool)
-        before[0] = True
-        before[1:] = gap[:-1]
-        before |= edge[:-1]
-        after = np.empty(len(data), bool)
-        after[-1] = True
-        after[:-1] = gap[1:]
-        after |= edge[1:]
-        self.starts = np.flatnonzero(word & before)
-        self.ends = np.flatnonzero(word & after) + 1
+        starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo in range(0, len(data), 4 * SLICE_BYTES):  # a block of bytes at a time, so that masks stay small for texts of any length
+            hi = min(lo + 4 * SLICE_BYTES, len(data))
+            word = np.zeros(hi - lo + 2, bool)
+            word[1:-1] = inside[data[lo:hi]]
+            word[0], word[-1] = lo > 0 and inside[data[lo - 1]], hi < len(data) and inside[data[hi]]
+            edge = np.zeros(hi - lo + 1, bool)
+            edge[offs[np.searchsorted(offs, lo) : np.searchsorted(offs, hi, "right")] - lo] = True
+            inner = word[1:-1]
+            starts.append(np.flatnonzero(inner & (~word[:-2] | edge[:-1])) + lo)
+            ends.append(np.flatnonzero(inner & (~word[2:] | edge[1:])) + lo + 1)
+        self.starts, self.ends = np.concatenate(starts), np.concatenate(ends)
         self.first = np.searchsorted(self.starts, offs)
         self.hashes = self._hash(fold) if hashed else None
 
@@ -225,8 +291,23 @@ def crc_bucket(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def hash_sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """The rows whose ids have the smallest hashes: about `rows` of them at most, the same ones each time. Null ids are left out."""
-    key = F.xxhash64(F.col(id_col), F.lit(11))
-    least = df.where(F.col(id_col).isNotNull()).select(key.alias("k")).orderBy("k").limit(rows).agg(F.max("k")).first()[0]
-    return df.where(F.col(id_col).isNotNull() & (key <= F.lit(least if least is not None else 0)))
+def hash_sample(df: DataFrame, id_col: str, rows: int, text_col: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """Distinct rows of df, the same ones each time: those of smallest hash, `rows` of them and `most_bytes` of text at most.
+
+    Rows without an id are left out, and so are texts of more than a hundredth of most_bytes; repeated rows count once.
+    """
+    own = F.xxhash64(F.col(id_col), F.lit(11))
+    some = df.where(F.col(id_col).isNotNull())
+    known = some.agg(F.approx_count_distinct(own)).first()[0]
+    cut = min(1.5 * rows / max(known, 1), 1.0) * 2**64 - 2**63
+    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") if text_col else F.lit(0).cast("long")
+    some = some.where((own <= F.lit(min(int(cut), 2**63 - 1))) & (size <= most_bytes // 100))
+    key = F.struct(own.alias("own"), F.xxhash64(*df.columns).alias("row"))
+    found = some.select(key.alias("key"), size.alias("size")).distinct().orderBy("key").limit(rows).collect()  # `rows` pairs of numbers
+    room, last = most_bytes, (-(2**63), -(2**63))
+    for r in found:
+        room -= r["size"]
+        if room < 0:
+            break
+        last = (r.key.own, r.key.row)
+    return some.where(key <= F.struct(F.lit(last[0]).cast("long").alias("own"), F.lit(last[1]).cast("long").alias("row"))).distinct()

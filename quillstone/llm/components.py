@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialise
+from quillstone.llm.common import discard, materialise
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -13,7 +13,7 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a long, b long) -> (node, component): the smallest node that links reach. Loops and repeats don't matter.
+    """edges (a long, b long) -> (node, component), a written table: the smallest node that links reach. Loops and repeats don't matter.
 
     A large star hangs each neighbour above a node on the node's smallest neighbour; a small star hangs those below it.
     Both take a minimum that is combined before the shuffle, so a node with very many links is no hot spot.
@@ -26,9 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(hung.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, materialise(hung.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
         after = _signature(e)
         if after == before:
             break
         before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = materialise(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    discard(e)
+    return out

@@ -11,6 +11,7 @@ documents are unique and never leave the scan.
 
 from __future__ import annotations
 
+import heapq
 import struct
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import BROADCAST_BYTES, materialise, small
+from quillstone.llm.common import BROADCAST_BYTES, discard, materialise, one_row_each, small, trim
 
 WHITESPACE = "[\\x20\\x09-\\x0D]+"
 #: Bits of a remainder. The other 24 are the quotient.
@@ -40,23 +41,48 @@ class QuotientFilter:
         """From fingerprints in any order, repeated or not; counts default to one each."""
         fingerprints = np.asarray(fingerprints, np.uint64)
         counts = np.ones(len(fingerprints), np.uint64) if counts is None else np.asarray(counts, np.uint64)
-        keys, where = np.unique(fingerprints, return_inverse=True)
-        sums = np.zeros(len(keys), np.uint64)
-        np.add.at(sums, where, counts)
-        quotients = (keys >> np.uint64(REMAINDER_BITS)).astype(np.int64) - first
-        occupied, run_length = np.unique(quotients, return_counts=True)
-        return cls(first, size, occupied.astype(np.uint32), run_length.astype(np.uint32), keys & np.uint64((1 << REMAINDER_BITS) - 1), sums)
+        order = np.argsort(fingerprints, kind="stable")
+        keys, counts = fingerprints[order], counts[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        return cls._sorted(keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts, first, size)
 
     def fingerprints(self) -> np.ndarray:
         quotients = np.repeat(self.occupied.astype(np.uint64) + np.uint64(self.first), self.run_length)
         return (quotients << np.uint64(REMAINDER_BITS)) | self.remainders
 
     def merge(self, *others: QuotientFilter) -> QuotientFilter:
-        """The filter of all their members together. Runs merge by sorted remainder; counts add up; nothing is lost."""
-        all_ = (self, *others)
+        """The filter of all their members together. Runs merge by sorted remainder; counts add up; nothing is lost.
+
+        Filters are merged two by two, the smallest first, so that a member takes part in about log(filters) merges.
+        """
         if any((x.first, x.size) != (self.first, self.size) for x in others):
             raise ValueError("filters of different quotient ranges don't merge")
-        return QuotientFilter.build(np.concatenate([x.fingerprints() for x in all_]), np.concatenate([x.counts for x in all_]), self.first, self.size)
+        queue = [(len(x.remainders), k, x) for k, x in enumerate((self, *others))]
+        heapq.heapify(queue)
+        while len(queue) > 1:
+            (_, k, x), (_, _, y) = heapq.heappop(queue), heapq.heappop(queue)
+            both = x._with(y)
+            heapq.heappush(queue, (len(both.remainders), k, both))
+        return queue[0][2]
+
+    def _with(self, other: QuotientFilter) -> QuotientFilter:
+        """Merge two sorted sequences of (quotient, remainder): each member of the shorter finds its place in the longer one."""
+        a, b = (self, other) if len(self.remainders) >= len(other.remainders) else (other, self)
+        x, y = a.fingerprints(), b.fingerprints()
+        at = np.searchsorted(x, y)
+        same = at < len(x)
+        same[same] = x[at[same]] == y[same]
+        counts = a.counts.copy()
+        counts[at[same]] += b.counts[same]
+        keys, sums = np.insert(x, at[~same], y[~same]), np.insert(counts, at[~same], b.counts[~same])
+        return QuotientFilter._sorted(keys, sums, self.first, self.size)
+
+    @classmethod
+    def _sorted(cls, keys: np.ndarray, counts: np.ndarray, first: int, size: int) -> QuotientFilter:
+        quotients = (keys >> np.uint64(REMAINDER_BITS)).astype(np.int64) - first
+        starts = np.flatnonzero(np.concatenate([[True], quotients[1:] != quotients[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        lengths = np.diff(np.append(starts, len(keys)))
+        return cls(first, size, quotients[starts].astype(np.uint32), lengths.astype(np.uint32), keys & np.uint64((1 << REMAINDER_BITS) - 1), counts)
 
     def count(self, fingerprint: int) -> int:
         """How often a fingerprint was added: walk to its quotient's run, then search the sorted remainders."""
@@ -110,13 +136,17 @@ def normalised(text: Column) -> Column:
 
 
 def _filters(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    whole: QuotientFilter | None = None
+    """The filter of a partition, in slabs. Filters of batches merge as their sizes double, so building takes n log n steps."""
+    stack: list[QuotientFilter] = []
     for batch in batches:
-        one = QuotientFilter.build(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-        whole = one if whole is None else whole.merge(one)
-    if whole is not None:
-        rows = [(k, part.pack()) for k, part in whole.slabs(bits)]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([raw for _, raw in rows], pa.binary())], names=["slab", "filter"])
+        stack.append(QuotientFilter.build(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
+        while len(stack) > 1 and len(stack[-2].remainders) <= 2 * len(stack[-1].remainders):
+            stack.append(stack.pop().merge(stack.pop()))
+    if stack:
+        for k, part in stack[0].merge(*stack[1:]).slabs(bits):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.pack()], pa.binary())], names=["slab", "filter"])
+    stack.clear()
+    trim()
 
 
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,6 +176,21 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     # Byte verification: the grouping key is the text itself, combined before the shuffle, so that copies travel once per task.
     exact = norm.join(again, "fp", "left_semi").groupBy("fp", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = materialise(exact.select("fp", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size").where("group_size > 1"))
+    discard(repeated)
     out = rows.join(small(groups, broadcast_bytes), ["fp", "sha"], "left")
     keep, size = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")), F.coalesce("group_size", F.lit(1).cast("long"))
     return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), size.alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df without exact copies: of equal texts the row of smallest id stays, one without an id only if none has one.
+
+    Texts are equal as in exact_dedup; null and empty ones are equal to each other. Decisions are by row: rows that
+    share an id but not their text are judged apart, and of rows that repeat both one stays. All columns stay; an empty
+    table gives an empty result.
+    """
+
+    def classes(keyed: DataFrame) -> DataFrame:
+        return exact_dedup(keyed, "row").where("group_size > 1").select("row", F.col("keep_id").alias("class"))
+
+    return one_row_each(df, id_col, text_col, classes)

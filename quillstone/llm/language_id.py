@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import ALNUM, LOWER, hash_sample, slices, text_bytes
+from quillstone.llm.common import ALNUM, LOWER, fresh, hash_sample, materialise, slices, small, text_bytes
 
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3, 4)
 #: Documents of the training sample.
 TRAIN_DOCS = 4000
+#: Bytes of text of the training sample, and bytes that a worker turns into n-grams at once.
+TRAIN_BYTES = 64 << 20
+BLOCK_BYTES = 512 << 10
 #: Gap of softmax shares below which a text is ambiguous.
 AMBIGUOUS = 0.1
 UNKNOWN = "und"
@@ -49,6 +52,16 @@ def gram_buckets(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarra
             yield ((code + np.uint64(order << 40)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 12)).astype(np.int64), room >= order
 
 
+def blocks(offs: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of texts (first, end) and of bytes (first, end) that hold most bytes at most: whole texts, or a part of a long one."""
+    k, n = 0, len(offs) - 1
+    while k < n:
+        end = max(k + 1, int(np.searchsorted(offs, offs[k] + most, "right")) - 1)
+        for lo in range(int(offs[k]), max(int(offs[end]), int(offs[k]) + 1), most):
+            yield k, end, lo, min(lo + most, int(offs[end]))
+        k = end
+
+
 def frequencies(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Share of each bucket in each text."""
     n = len(offs) - 1
@@ -112,15 +125,21 @@ class Codebook:
         return share.argmax(axis=1), top[:, 0], top[:, 0] - (top[:, 1] if share.shape[1] > 1 else 0)
 
     def bits(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """The classifiers' scores of each text: the mean weight of its n-grams."""
-        n = len(offs) - 1
+        """The classifiers' scores of each text: the mean weight of its n-grams. Long texts are summed up block by block."""
+        n, reach = len(offs) - 1, max(ORDERS) - 1
         sums, counts = np.zeros((n, len(self.bias))), np.zeros(n)
-        if len(data):
-            filled = np.flatnonzero(np.diff(offs))
-            for bucket, whole in gram_buckets(data, offs):
+        weights = np.vstack([self.weights, np.zeros((1, self.weights.shape[1]), np.float32)])
+        for k, end, lo, hi in blocks(offs):
+            if hi == lo:
+                continue
+            first, last = max(lo - 1, int(offs[k])), min(hi + reach, int(offs[end]))  # n-grams reach over the block's end, letters over its start
+            own = slice(lo - first, hi - first)
+            inner = np.clip(offs[k : end + 1], lo, hi) - lo
+            filled = np.flatnonzero(np.diff(inner))
+            for bucket, whole in gram_buckets(data[first:last], np.clip(offs[k : end + 1], first, last) - first):
                 bucket[~whole] = BUCKETS
-                sums[filled] += np.add.reduceat(np.vstack([self.weights, np.zeros((1, self.weights.shape[1]), np.float32)])[bucket], offs[filled], axis=0, dtype=np.float64)
-                counts[filled] += np.add.reduceat(whole.astype(np.int64), offs[filled])
+                sums[k + filled] += np.add.reduceat(weights[bucket[own]], inner[filled], axis=0, dtype=np.float64)
+                counts[k + filled] += np.add.reduceat(whole[own].astype(np.int64), inner[filled])
         return sums / np.maximum(counts, 1)[:, None] + self.bias
 
 
@@ -138,10 +157,13 @@ def _identify(batches: Iterator[pa.RecordBatch], book: Codebook) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([book.languages[k] for k in best], pa.string()), pa.array(share), pa.array(lead < AMBIGUOUS)], names=["id", "lang", "score", "ambiguous"])
 
 
-def train_codebook(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = TRAIN_DOCS) -> Codebook:
-    """Train on rows where `learn` holds and the language isn't null: those of smallest id hash, `docs` of them at most."""
+def train_codebook(
+    df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES
+) -> Codebook:
+    """Train on rows where `learn` holds and the language isn't null: those of smallest id hash, `docs` and most_bytes of text of them at most."""
     rows = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    got = hash_sample(rows, "id", docs).orderBy("id").select("text", "lang").mapInArrow(_features, "lang string, x binary").toArrow()
+    got = hash_sample(rows, "id", docs, "text", most_bytes).select("text", "lang").mapInArrow(_features, "lang string, x binary").toArrow()
+    got = got.sort_by([("lang", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
     return Codebook.train(np.array(got.column("lang").to_pylist(), object), x)
 
@@ -160,3 +182,21 @@ def identify_languages(df: DataFrame, book: Codebook, id_col: str = "doc_id", te
         return mute
     said = docs.where("letters").select("id", "text").mapInArrow(lambda b: _identify(b, book), kind)
     return said.select(F.col("id").alias(id_col), F.col("lang").alias("lang_pred"), "score", "ambiguous").unionByName(mute)
+
+
+def keep_languages(
+    df: DataFrame, book: Codebook, languages: list[str] | None = None, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of df in one of the languages (all that were learned) with a score of least or more; all columns stay.
+
+    Texts that are null, have no letter or lie too near two languages go, so every row that stays has a language. Rows
+    with equal texts share their fate; repeated rows stay if their text does. An empty table gives an empty result.
+    """
+    wanted = book.languages if languages is None else languages
+    text = (F.coalesce(F.col(text_col), F.lit("")),)
+    h1, h2 = fresh(df, "__h1", "__h2")
+    hashes = {h1: F.xxhash64(*text), h2: F.xxhash64(F.lit("second"), *text)}
+    keyed = df.select(F.struct(hashes[h1].alias("h1"), hashes[h2].alias("h2")).alias("key"), F.col(text_col).alias("text"))
+    said = identify_languages(keyed, book, "key", "text")
+    gone = materialise(said.where(~F.col("lang_pred").isin(wanted) | (F.col("score") < least)).select(F.col("key.h1").alias(h1), F.col("key.h2").alias(h2)).distinct())
+    return df.withColumns(hashes).join(small(gone), [h1, h2], "left_anti").select(df.columns)

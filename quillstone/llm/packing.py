@@ -12,6 +12,7 @@ themselves, with their ids, are never shuffled for that.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from array import array
@@ -32,6 +33,9 @@ CACHE = 300_000
 #: Marks that make a pre-token of their own at the end of a word.
 MARKS = b"!\"#$%&()*+,-./:;=?@[]^_`{|}~"
 
+#: Texts that tell at load whether a tokenizer works word by word in lower case; any other encodes whole texts.
+PROBES = tuple(t.encode() for t in ("Hello  World", " a\nb ", "It's (3.5) x--y?!", "\u00c9t\u00e9 STRASSE \u4e2d\u6587", "a,b;c <|x|> 1,000"))
+
 #: Words of these letters alone are one pre-token, and their normal form is that in lower case.
 LETTERS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on.
@@ -45,7 +49,8 @@ class Encoder:
     Pre-tokens of the vocabulary never span white space, so a text's ids are those of its words in order; nor do they
     span a letter and the marks after it, so a word's ids are those of its stem and of the marks at its end. A word of
     common letters goes to the merge rules directly. ASCII letters are put in lower case first, which the vocabulary's
-    own normaliser does anyway, unless the text may hold a special token.
+    own normaliser does anyway, unless the text may hold a special token. Vocabularies for which this does not hold are
+    recognised by PROBES, and for them whole texts go to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -54,6 +59,11 @@ class Encoder:
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
         self.model = self.tokenizer.model
+        self.by_words = all(self._cached([p])[0] == self._plain(p) for p in PROBES)
+        self.cache.clear()
+
+    def _plain(self, text: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
     def _learn(self, fresh: list[bytes]) -> None:
         rest = []
@@ -69,6 +79,9 @@ class Encoder:
                 self.cache[word] = array("I", coded.ids).tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
+        return self._cached(texts) if self.by_words else [self._plain(t) for t in texts]
+
+    def _cached(self, texts: list[bytes]) -> list[bytes]:
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         cache, used = self.cache, set().union(*words)
         if len(cache) > CACHE:
@@ -92,8 +105,14 @@ class Encoder:
         return [b"".join(map(cache.__getitem__, w)) for w in words]
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """Loaded once a worker process, not once a task."""
+    return Encoder(path)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encode, end, step = Encoder(path), np.array([end_id], "<u4").tobytes(), 4 * size
+    encode, end, step = _encoder(path), np.array([end_id], "<u4").tobytes(), 4 * size
     seen = np.zeros(size + 1, np.int64)
     for batch in slices(batches, most=2 << 20):
         rows = []
@@ -188,6 +207,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # What grows: `before` has a row for each task and length, at most `size` rows a task; it is broadcast only when small.
     cut = docs.mapInArrow(lambda b: _pieces(b, tokenizer_path, size, end_id), f"id {dict(docs.dtypes)['id']}, start long, length long, ids binary, doc_tokens long, nth long")
     pieces = materialise(cut.withColumn("task", F.spark_partition_id()))
     counts = materialise(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")))
