@@ -1,63 +1,68 @@
 """The corpus pipeline: language, exact copies, near copies, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again before the next.
+Decisions are by row, never by doc_id alone: rows that share an id are judged apart, rows without an id take part like
+others, and every column of a row that stays is kept, whatever its name. An empty table passes all stages.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillstone.llm import decontaminate, exact_dedup, jaccard_join, language_id
-from quillstone.llm.common import crc_bucket, materialise, small
+from quillstone.llm.common import crc_bucket, lean_batches, materialise
 from quillstone.llm.queries import pack_documents
 
+#: Least score of the predicted language; texts below lie too near two languages.
+LEAST_SCORE = 0.5
+
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; those without any letter go."""
+    """Documents in a language that was learned, with a score of LEAST_SCORE or more.
+
+    Texts that are null, empty or have no letter have no language and go. Equal texts share their fate, so ties and
+    repeated rows stay or go together; very long texts are judged whole. Where no language can be learned, all go.
+    """
+    lean_batches(spark)
     book = language_id.train_codebook(docs, crc_bucket("doc_id", 4) != 2)
-    said = language_id.identify_languages(docs.withColumn("__row", F.xxhash64("doc_id", "text")), book, "__row")
-    gone = materialise(said.where(F.col("lang_pred") == language_id.UNKNOWN).select("__row").distinct())
-    return docs.withColumn("__row", F.xxhash64("doc_id", "text")).join(small(gone), "__row", "left_anti").select(docs.columns)
+    return language_id.keep_languages(docs, book, least=LEAST_SCORE)
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row of smallest id."""
-    return _one_row_each(docs, lambda keyed: exact_dedup.exact_dedup(keyed, "__row").where("group_size > 1").select("__row", F.col("keep_id").alias("__group")))
+    """Of texts that are equal after white space is normalised, the row of smallest id.
 
+    Null and empty texts are equal. A row without an id stays only if no equal text has one; of rows that repeat id and
+    text one stays.
+    """
+    lean_batches(spark)
+    return exact_dedup.without_copies(docs)
 
-def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (5-word shingles, Jaccard similarity 0.8 or more, linked in chains) the document of smallest id."""
 
-    def groups(keyed: DataFrame) -> DataFrame:
-        found = jaccard_join.jaccard_components(keyed, "__row", shingle_words=5, similarity=(80, 100))
-        linked = materialise(found.where("component_id <> __row").select("__row", F.col("component_id").alias("__group")))
-        return linked.unionByName(linked.select(F.col("__group").alias("__row"), "__group").distinct())
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies (5-word shingles, Jaccard similarity 0.8 or more, linked in chains) the row of smallest id.
 
-    return _one_row_each(docs, groups)
+    Texts without words are near nothing. A row without an id stays only if none of its group has one; of rows that
+    repeat id and text one stays.
+    """
+    lean_batches(spark)
+    return jaccard_join.without_near_copies(docs, shingle_words=5, similarity=(80, 100))
 
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none and stay; equal texts share their fate; repeated rows stay if their text does.
+    """
+    lean_batches(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token windows."""
+    """Pieces of token windows. A null or empty text is the end mark alone; repeated rows and null ids are documents of their own."""
+    lean_batches(spark)
     return pack_documents(docs)
 
 
-def _one_row_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Of each group one row, that of smallest id (null ids last). groups: docs with a unique key __row -> __row, __group of the rows in groups."""
-    keyed = materialise(docs.withColumn("__row", F.monotonically_increasing_id()))
-    rows = materialise(keyed.select("__row", "doc_id").join(small(materialise(groups(keyed))), "__row"))
-    first = rows.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("first")).select("__group", F.col("first.__row").alias("__kept"))
-    gone = materialise(rows.join(small(materialise(first)), "__group").where("__row <> __kept").select("__row"))
-    return keyed.join(small(gone), "__row", "left_anti").select(docs.columns)
-
-
 STAGES = [
     ("language", keep_language),
     ("exact_dedup", keep_first_copies),
