@@ -5,7 +5,9 @@ for that many words of anything, `<<any:MIN-MAX:name>>` gives them a name. All o
 match exactly, word for word, after case folding and without punctuation. Each template is compiled once into an
 automaton over words: a state for each place in the template, an edge for each mandatory word, a jump over each
 optional region and a bounded loop for each replaceable one. A text is accepted where the automaton reaches its end.
-An automaton starts only where the template's rarest-looking mandatory run stands, found by one search for all.
+An automaton starts only where its anchor, a long run of mandatory words, stands; one search of the text finds these
+places for each automaton. Templates are short notices and whole license bodies, which are accepted only to their end.
+Long texts are read in blocks of words that overlap by the longest template.
 
 Beside templates, plain phrases are found at every place where their words stand side by side.
 """
@@ -25,22 +27,94 @@ from quillstone.llm.common import ALNUM_LOWER_SPACES, slices
 #: Phrase: label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label: template. Short notices as they stand in file heads, and the fixed openings of common license texts.
+# The wording of notices and licenses.
+_AS_IS = (
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and"
+    " <<any:1-2>> in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from"
+    " out of or in connection with the software or the use or other dealings in the software"
+)
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+    " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished"
+    " to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>> shall be included in all copies"
+    " or substantial portions of the software " + _AS_IS.replace("<<any:1-2>>", "noninfringement")
+)
+_BSD_OPENING = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<any:0-1>> redistributions of source code"
+    " must retain the above copyright notice this list of conditions and the following disclaimer <<any:0-1>> redistributions in binary form must reproduce the above copyright notice this"
+    " list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_NAMES = (
+    " <<any:0-1>> neither the name of <<any:1-12:holder>> may be used to endorse or promote products derived from this software without specific prior written permission"
+)
+_BSD_END = (
+    " this software is provided by <<any:1-12:holder>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a"
+    " particular purpose are disclaimed in no event shall <<any:1-12:holder>> be liable for any direct indirect incidental special exemplary or consequential damages including but not"
+    " limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict"
+    " liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_ISC_GRANT = "permission to use copy modify and <<optional>>or<</optional>> distribute this software for any purpose with or without fee is hereby granted"
+_ISC_END = (
+    " the software is provided as is and <<any:1-6:holder>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event"
+    " shall <<any:1-6:holder>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of"
+    " contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+)
+_ZLIB = (
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is"
+    " granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<any:0-1>> the"
+    " origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product"
+    " documentation would be appreciated but is not required <<any:0-1>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software"
+    " <<any:0-1>> this notice may not be removed or altered from any source distribution"
+)
+_UNLICENSE = (
+    "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as"
+    " a compiled binary for any purpose commercial or non commercial and by any means"
+)
+_APACHE_NOTICE = (
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org"
+    " licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of"
+    " any kind either express or implied see the license for the specific language governing permissions and limitations under the license"
+)
+_GNU_NOTICE = "you can redistribute it and or modify it under the terms of the gnu {kind} public license as published by the free software foundation {version}"
+_LATER = "either version {n} of the license or at your option any later version"
+_MPL = (
+    "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<optional>>http<</optional>>"
+    " <<optional>>https<</optional>> mozilla org mpl 2 0"
+)
+
+
+def _gnu() -> dict[str, str]:
+    """Notices of the GNU licenses: each kind and version, with and without later versions."""
+    out = {}
+    for label, kind, versions in (("gpl", "general", "2 3"), ("lgpl", "lesser general", "2.1 3"), ("agpl", "affero general", "3")):
+        for n in versions.split():
+            out[f"{label}-{n}-or-later"] = _GNU_NOTICE.format(kind=kind, version=_LATER.format(n=n))
+            out[f"{label}-{n}-only"] = _GNU_NOTICE.format(kind=kind, version=f"version {n} <<optional>>of the license<</optional>> only")
+    return out
+
+
+#: Label: template.
 TEMPLATES = {
+    "0bsd": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted" + _ISC_END,
     "apache-2.0": "licensed under the apache license <<optional>>version<</optional>> 2.0 <<optional>>the license<</optional>>",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "apache-2.0-notice": _APACHE_NOTICE,
+    "bsd-2-clause": _BSD_OPENING + _BSD_END,
+    "bsd-3-clause": _BSD_OPENING + _BSD_NAMES + _BSD_END,
     "cc-by-nc": "<<optional>>this work is<</optional>> licensed under <<optional>>a<</optional>> <<optional>>creative commons<</optional>> cc by nc <<any:0-3:version>> <<optional>>license<</optional>>",
     "cc-by-sa": "licensed under <<optional>>a<</optional>> <<optional>>creative commons<</optional>> cc by sa <<any:0-3:version>> <<optional>>license<</optional>>",
     "copyright": "copyright <<optional>>c<</optional>> <<any:1-8:holder>> all rights reserved",
     "gpl-3.0": "<<optional>>this work is<</optional>> licensed under the <<optional>>gnu<</optional>> general public license <<optional>>version<</optional>> 3",
-    "gpl-notice": "you can redistribute it and or modify it under the terms of the gnu <<optional>>lesser<</optional>> general public license as published by the free software foundation",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "isc": _ISC_GRANT + " provided that the above copyright notice and this permission notice appear in all copies" + _ISC_END,
     "mit": "<<optional>>this <<any:1-2>> is<</optional>> released under the mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
-    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-}
+    "mit-text": _MIT,
+    "mpl-2.0": _MPL,
+    "unlicense": _UNLICENSE,
+    "zlib": _ZLIB,
+} | _gnu()
 
+#: Bytes of text whose words are held at once.
+BLOCK_BYTES = 4 << 20
+_GAP = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 _MARK = re.compile(r"<<(optional|/optional|any:(\d+)-(\d+)(?::\w+)?)>>")
 
 
@@ -160,24 +234,53 @@ def places(joined: bytes, phrase: list[bytes]) -> list[int]:
 
 
 class Scanner:
-    def __init__(self, phrases: dict[str, str], templates: dict[str, str]):
+    """Scans texts block by block; a block's words come with `reach` words before and after it."""
+
+    def __init__(self, phrases: dict[str, str], templates: dict[str, str], block: int = BLOCK_BYTES):
         self.phrases = [(fold(p.encode()), label) for p, label in phrases.items()]
         self.automata = [Automaton.compile(label, t) for label, t in templates.items()]
+        self.mandatory = {a.label: a.mandatory for a in self.automata}
+        self.reach = max([len(a.words) for a in self.automata] + [len(p) for p, _ in self.phrases], default=1)
+        self.block = block
+
+    def blocks(self, text: bytes) -> Iterator[tuple[list[bytes], int, int]]:
+        """(words, first and end of those that are the block's own)."""
+        at, lead = 0, []
+        while True:
+            end = min(at + self.block, len(text))
+            while end < len(text) and end > at and ALNUM_LOWER_SPACES[text[end]] != 0x20:
+                cut = _GAP.search(text, end)
+                end = cut.start() if cut else len(text)
+            own = fold(text[at:end])
+            tail: list[bytes] = []
+            room = 16 * self.reach
+            while end < len(text) and len(tail) < self.reach:
+                stop = min(end + room, len(text))
+                tail = fold(text[end:stop])
+                if stop == len(text):
+                    break
+                tail, room = tail[:-1], 2 * room  # the last word may go on
+            yield lead + own + tail[: self.reach], len(lead), len(lead) + len(own)
+            if end == len(text):
+                return
+            lead, at = (lead + own)[-self.reach :], end
 
-    def __call__(self, text: bytes) -> tuple:
-        words = fold(text)
-        joined = b" " + b" ".join(words) + b" "
-        found, labels = [], set()
-        for phrase, label in self.phrases:
-            if at := places(joined, phrase):
+    def __call__(self, text: bytes) -> tuple[int, list[int], set[str], list[tuple[str, int, int]], float]:
+        found, labels, spans, base = [], set(), set(), 0
+        for words, lo, hi in self.blocks(text):
+            joined = b" " + b" ".join(words) + b" "
+            for phrase, label in self.phrases:
+                at = [base + k - lo for k in places(joined, phrase) if lo <= k < hi]
                 found += at
-                labels.add(label)
-        spans = []
-        for a in self.automata:
-            for at in places(joined, a.anchor):
-                if (span := a.find(words, at)) is not None and (a.label, *span) not in spans:
-                    spans.append((a.label, *span))
-        return len(words), found, labels, sorted(spans, key=lambda s: (s[1], s[2], s[0]))
+                labels |= {label} if at else set()
+            for a in self.automata:
+                for at in places(joined, a.anchor):
+                    if (span := a.find(words, at)) is not None and lo <= span[0] < hi:
+                        spans.add((a.label, base + span[0] - lo, base + span[1] - lo))
+            base += hi - lo
+        surest = max((self.mandatory[label] for label, _, _ in spans), default=0)
+        score = 1 - 0.5 ** (1 + surest / 4) if surest else 0.5 if found else 0.0
+        return base, sorted(found), labels, sorted(spans, key=lambda s: (s[1], s[2], s[0])), score
 
 
 def _scan(batches: Iterator[pa.RecordBatch], phrases: dict[str, str], templates: dict[str, str]) -> Iterator[pa.RecordBatch]:
@@ -185,9 +288,9 @@ def _scan(batches: Iterator[pa.RecordBatch], phrases: dict[str, str], templates:
     span = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     for batch in slices(batches):
         rows = [scan(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column("text")]
-        base = [",".join(sorted(labels)) for _, _, labels, _ in rows]
-        every = [",".join(sorted(labels | {s[0] for s in spans})) for _, _, labels, spans in rows]
-        score = [1.0 if spans else 0.5 if found else 0.0 for _, found, _, spans in rows]
+        base = [",".join(sorted(r[2])) for r in rows]
+        every = [",".join(sorted(r[2] | {s[0] for s in r[3]})) for r in rows]
+        score = [r[4] for r in rows]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("id"),
@@ -208,7 +311,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, first word, end).
 
     Base columns are about the phrases; labels and spans add the templates whose mandatory wording matches exactly.
-    The score is 1 with a template, 0.5 with phrases only, else 0. Null and empty texts have no words: counts are 0,
+    The score is 0.5 with phrases only and nears 1 with the mandatory words of the longest template found, else 0. Null and empty texts have no words: counts are 0,
     places null, labels empty. Every row gives one row, so repeated rows and null ids stay. Other columns don't
     matter; an empty table gives an empty result.
     """

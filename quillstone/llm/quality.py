@@ -5,9 +5,11 @@ the risk of calling bad text good is that of unlabelled text minus p times that
 drive this estimate below zero, so the non-negative risk estimator is minimised: where a batch's estimate falls below
 zero, the step goes the other way until it is back. The model is a small network over statistics of a text.
 
-The prior is estimated as the share of label 1 among labelled learning rows; without any label 0 there, as the lowest
-ratio of the two score distributions' upper tails. Scores are calibrated by logistic regression on the labelled
-learning rows, so that they read as probabilities.
+No row labelled 0 is used anywhere. The prior is estimated from positives and unlabelled text: a first model is
+trained with a prior of a half, and the lowest ratio of the two score distributions' upper tails is the estimate.
+Scores are calibrated from the same two samples: logistic regression tells positives from unlabelled text, with
+weights in the ratio of the prior, so that its odds are the prior times the ratio of densities, which is the
+probability of being good.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import PLAIN, Words, grams, hash_sample, slices, small, text_bytes
+from quillstone.llm.common import PLAIN, Words, discard, grams, hash_sample, materialise, slices, small, text_bytes
 
-#: Rows of the positive, the unlabelled and the calibration sample.
+#: Rows of the labelled and of the unlabelled sample, and bytes of text of each.
 TRAIN_ROWS = 6000
+TRAIN_BYTES = 64 << 20
+#: Bytes that a worker classifies at once.
+BLOCK_BYTES = 1 << 20
 SHAPES = 128
 
 _CLASS = np.zeros(256, np.int64)  # 0: other marks
@@ -32,44 +37,66 @@ for _k, _group in enumerate((b" ", b"\n\t\r\x0b\x0c", b"0123456789", bytes(range
 KINDS = 15
 
 
+def character_counts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: characters by kind, hashed trigrams of kinds, line feeds. Works block by block of bytes."""
+    n = len(offs) - 1
+    kinds, shapes, feeds = np.zeros(n * KINDS), np.zeros(n * SHAPES), np.zeros(n)
+    for lo in range(0, len(data), BLOCK_BYTES):
+        hi = min(lo + BLOCK_BYTES, len(data))
+        kind = _CLASS[data[lo : hi + 2]]  # trigrams reach over the block's end
+        text = np.searchsorted(offs, np.arange(lo, lo + len(kind)), "right") - 1
+        own = hi - lo
+        kinds += np.bincount(text[:own] * KINDS + kind[:own], minlength=n * KINDS)
+        feeds += np.bincount(text[:own][data[lo:hi] == 10], minlength=n)
+        if len(kind) > 2:
+            m = min(own, len(kind) - 2)
+            code = kind[:m] * KINDS * KINDS + kind[1 : m + 1] * KINDS + kind[2 : m + 2]
+            whole = text[:m] == text[2 : m + 2]
+            shapes += np.bincount(text[:m][whole] * SHAPES + (code[whole] * 2654435761 >> 7) % SHAPES, minlength=n * SHAPES)
+    return kinds.reshape(n, KINDS), shapes.reshape(n, SHAPES), feeds
+
+
+def distinct_counts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many different values each stretch first[k] .. first[k + 1] holds."""
+    owner = np.searchsorted(first, np.arange(len(hashes)), "right") - 1
+    if len(first) == 2 or len(hashes) > 4 * BLOCK_BYTES:
+        return np.array([len(np.unique(hashes[a:b])) for a, b in zip(first, first[1:], strict=False)])
+    order = np.lexsort((hashes, owner))
+    k, o = hashes[order], owner[order]
+    fresh = np.ones(len(k), bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+    return np.bincount(o[fresh], minlength=len(first) - 1)
+
+
 def text_statistics(batch: pa.RecordBatch) -> np.ndarray:
     """A row of numbers for each text: shares of kinds of characters, repetition of words, pairs and lines, lengths, and hashed trigrams of kinds."""
     data, offs = text_bytes(batch.column("text"))
     n, sizes = len(offs) - 1, np.diff(offs)
-    text = np.repeat(np.arange(n), sizes)
-    kind = _CLASS[data]
-    shares = np.bincount(text * KINDS + kind, minlength=n * KINDS).reshape(n, KINDS) / np.maximum(sizes, 1)[:, None]
+    kinds, shapes, feeds = character_counts(data, offs)
+    shares = kinds / np.maximum(sizes, 1)[:, None]
     words = Words(data, offs, PLAIN)
-    count = np.diff(words.first)
-    owner = np.repeat(np.arange(n), count)
-    pairs = grams(words.hashes, 2)
-    inside = owner[1:] == owner[:-1]
-    lengths = words.ends - words.starts
-
-    def distinct(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
-        order = np.lexsort((keys, of))
-        k, o = keys[order], of[order]
-        fresh = np.ones(len(k), bool)
-        fresh[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-        return np.bincount(o[fresh], minlength=n)
-
-    per = lambda total: total / np.maximum(count, 1)
-    per_pair = lambda total: total / np.maximum(count - 1, 1)
-    same = np.bincount(owner[1:][inside & (words.hashes[1:] == words.hashes[:-1])], minlength=n) if len(owner) else np.zeros(n)
+    first, count, lengths = words.first, np.diff(words.first), words.ends - words.starts
+
+    def total(values: np.ndarray, bounds: np.ndarray = first) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        return sums[bounds[1:]] - sums[bounds[:-1]]
+
+    per = lambda x: x / np.maximum(count, 1)
+    per_pair = lambda x: x / np.maximum(count - 1, 1)
+    inside = np.ones(max(len(words.hashes) - 1, 0), bool)  # pairs within one text
+    inside[first[1:-1][(first[1:-1] > 0) & (first[1:-1] <= len(inside))] - 1] = False
+    pair_first = np.concatenate([[0], np.cumsum(np.maximum(count - 1, 0))])
+    same = total((words.hashes[1:] == words.hashes[:-1])[inside], pair_first)
     last = _CLASS[data[words.ends - 1]] if len(lengths) else lengths
-    lone = np.bincount(owner[lengths == 1], minlength=n)
-    marked = np.bincount(owner[(last == 9) | (last == 10) | (last == 11)], minlength=n)
-    mean, square = per(np.bincount(owner, lengths, n)), per(np.bincount(owner, lengths.astype(float) ** 2, n))
-    lines = np.bincount(text[data == 10], minlength=n) + 1
+    lone, marked = total(lengths == 1), total((last == 9) | (last == 10) | (last == 11))
+    mean, square = per(total(lengths)), per(total(lengths * lengths))
+    pairs = distinct_counts(grams(words.hashes, 2)[inside], pair_first) if len(inside) else np.zeros(n)
     rows = [
-        np.log1p(count) / 5, per(distinct(words.hashes, owner)), per_pair(distinct(pairs[inside], owner[1:][inside])) if len(pairs) else np.ones(n), per_pair(same),
-        per(lone), per(marked), mean / 10, np.sqrt(np.maximum(square - mean**2, 0)) / 10, np.log1p(sizes / lines) / 5, count == 0,
+        np.log1p(count) / 5, per(distinct_counts(words.hashes, first)), per_pair(pairs), per_pair(same),
+        per(lone), per(marked), mean / 10, np.sqrt(np.maximum(square - mean**2, 0)) / 10, np.log1p(sizes / (feeds + 1)) / 5, count == 0,
     ]
     upper = shares[:, 4] / np.maximum(shares[:, 4] + shares[:, 5], 1e-9)
-    code = kind[:-2] * KINDS * KINDS + kind[1:-1] * KINDS + kind[2:] if len(kind) > 2 else np.zeros(0, np.int64)
-    whole = text[:-2] == text[2:] if len(kind) > 2 else np.zeros(0, bool)
-    tri = np.bincount(text[:-2][whole] * SHAPES + (code[whole] * 2654435761 >> 7) % SHAPES, minlength=n * SHAPES).reshape(n, SHAPES) if len(code) else np.zeros((n, SHAPES))
-    return np.column_stack([*rows, upper, shares, np.sqrt(tri / np.maximum(sizes, 1)[:, None])]).astype(np.float32)
+    return np.column_stack([*rows, upper, shares, np.sqrt(shapes / np.maximum(sizes, 1)[:, None])]).astype(np.float32)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -78,20 +105,20 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """One hidden layer; centre and spread standardise inputs; scale and shift calibrate the output."""
+    """One hidden layer; centre and spread standardise inputs; the score is min(1, exp(scale * raw + shift)) once calibrated."""
 
     centre: np.ndarray
     spread: np.ndarray
     weights: list[np.ndarray]
-    scale: float = 1.0
-    shift: float = 0.0
+    scale: float = 0.0
+    shift: float = float(np.log(0.5))
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         a, b, c, d = self.weights
         return np.tanh(np.clip((x - self.centre) / self.spread, -10, 10) @ a + b) @ c + d[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.scale * self.raw(x) + self.shift)
+        return np.exp(np.clip(self.scale * self.raw(x) + self.shift, -50, 0))
 
     @classmethod
     def constant(cls, width: int) -> Network:
@@ -130,12 +157,18 @@ class Network:
                     w[k] = w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         return cls(centre, spread, w)
 
-    def calibrate(self, x: np.ndarray, label: np.ndarray, steps: int = 50) -> None:
-        """Logistic regression of the labels on the raw output, by Newton's method."""
-        z, theta = np.column_stack([self.raw(x), np.ones(len(x))]), np.zeros(2)
+    def calibrate(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 50) -> None:
+        """Logistic regression of positives (of total weight prior) against unlabelled text (of weight one), by Newton's method.
+
+        Its odds are prior * density of positives / density of all, the probability of being good.
+        """
+        raw = np.concatenate([self.raw(positive), self.raw(unlabelled)])
+        z, theta = np.column_stack([raw, np.ones(len(raw))]), np.zeros(2)
+        y = np.repeat([1.0, 0.0], [len(positive), len(unlabelled)])
+        weight = np.repeat([prior / len(positive), 1 / len(unlabelled)], [len(positive), len(unlabelled)])
         for _ in range(steps):
             s = _sigmoid(z @ theta)
-            theta -= np.linalg.solve(z.T @ (z * (s * (1 - s))[:, None]) + 1e-3 * np.eye(2), z.T @ (s - label) + 1e-3 * theta)
+            theta -= np.linalg.solve(z.T @ (z * (weight * s * (1 - s))[:, None]) + 1e-6 * np.eye(2), z.T @ (weight * (s - y)) + 1e-6 * theta)
         self.scale, self.shift = float(theta[0]), float(theta[1])
 
 
@@ -151,27 +184,30 @@ def prior_from_tails(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(min((unlabelled > c).mean() / max((positive > c).mean(), 1e-9) for c in cuts), 0.05, 0.99))
 
 
-def train_quality(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Network | None:
-    """Train on labelled rows where `learn` holds and on unlabelled texts: of each those of smallest id hash, `rows` at most. None without positives."""
+def train_quality(
+    df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES
+) -> Network | None:
+    """Train on rows labelled 1 where `learn` holds and on unlabelled texts: of each those of smallest id hash, `rows` and most_bytes of text at most.
+
+    Ids may be of any type; texts that share an id share its label; repeated rows count once. None without positives.
+    """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = hash_sample(labels.where(learn & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")), "id", rows)
-    known = {r.id: r.label for r in marked.collect()}  # at most `rows`
-    array = lambda found: np.frombuffer(b"".join(r.x for r in found), np.float32).reshape(len(found), -1)
-    order = lambda r: (r.id, r.x)
-    with_label = sorted(docs.join(small(marked.select("id")), "id", "left_semi").mapInArrow(_features, "id long, x binary").collect(), key=order)
-    label = np.array([known[r.id] for r in with_label])
-    if not (label == 1).any():
+    marked = labels.where(learn & (F.col(label_col) == 1)).select(F.col(id_col).alias("id"))
+    marked = materialise(hash_sample(marked, "id", rows))
+    trusted = materialise(docs.join(small(marked), "id", "left_semi"))
+
+    def statistics(sample: DataFrame) -> np.ndarray:
+        found = sorted(r.x for r in hash_sample(sample, "id", rows, "text", most_bytes).mapInArrow(_features, f"id {dict(docs.dtypes)['id']}, x binary").collect())
+        return np.frombuffer(b"".join(found), np.float32).reshape(len(found), -1)
+
+    good, other = statistics(trusted), statistics(docs)
+    discard(marked, trusted)
+    if not len(good):
         return None
-    x = array(with_label)
-    other = array(sorted(hash_sample(docs, "id", rows).mapInArrow(_features, "id long, x binary").collect(), key=order))
-    good = x[label == 1]
-    prior = float(np.clip(label.mean(), 0.05, 0.99))
-    if label.all():
-        first = Network.train(good, other, 0.5, epochs=10)
-        prior = prior_from_tails(first.raw(good), first.raw(other))
+    first = Network.train(good, other, 0.5, epochs=10)
+    prior = prior_from_tails(first.raw(good), first.raw(other))
     model = Network.train(good, other, prior)
-    if not label.all():
-        model.calibrate(x, label)
+    model.calibrate(good, other, prior)
     return model
 
 

@@ -1,19 +1,24 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field over tokens.
 
-Tokens are runs of `[A-Za-z0-9+/_=.-]`; each is outside, the begin or the inside of a secret. Features are a token's
-shape (length, kinds of characters, entropy), its neighbours (words and marks before and after) and its document
-(how dense such tokens are). A token that cannot be part of a secret (fewer than eight characters, or no digit) is
-fixed to `outside`. The best tag sequence then falls apart exactly at such tokens, so Viterbi runs over the short
-stretches between them and still decodes the whole text.
+Tokens are all runs of `[A-Za-z0-9+/_=.-]`; each is outside, the begin or the inside of a secret. Features are a token's
+shape (length, kinds of characters, vowels, turns between digits and letters and between cases), its neighbours (words
+and marks before and after) and its file (how dense odd tokens are). They are computed for a whole slice of text at once.
+
+Viterbi decodes the best tag sequence of each text. A token whose score for `outside` is ahead of the others by more than
+all transitions around it can make up for is `outside` in the best sequence, whatever its neighbours are; so the
+sequence falls apart there, and only the stretches between such tokens are decoded step by step. That is exact.
 
 Weights are trained here by maximum likelihood (forward-backward, all stretches at once) on a bounded sample of
-documents, where the fixed patterns give the tags. Context features are dropped at random while training, so that
-shape alone can carry a token.
+documents. The fixed patterns give tags there, and made-up keys of several alphabets are planted between words, since
+patterns alone would teach their own key words only. Context features are dropped at random while training, so that
+shape alone can carry a token and secrets are found where no key word stands before them.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import Words, hash_sample, slices, text_bytes
+from quillstone.llm.common import GOLD, LOWER, Words, hash_sample, mix, slices, text_bytes
 
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -32,16 +37,32 @@ TOKEN = np.zeros(256, bool)
 TOKEN[list(_LETTERS + b"0123456789+/_=.-")] = True
 HEX = np.zeros(256, bool)
 HEX[list(b"0123456789abcdef")] = True
-DIGIT = np.zeros(256, np.int64)
-DIGIT[list(b"0123456789")] = 1
+
+def _among(characters: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(characters)] = True
+    return out
+
+
+DIGITS, UPPER, LOWER_CASE = _among(b"0123456789"), _among(_LETTERS[:26]), _among(_LETTERS[26:])
+VOWELS, DOTS = _among(b"aeiouyAEIOUY"), _among(b".")
+#: Kinds of first and last characters: mark, digit, upper, lower.
+KIND_OF = DIGITS * np.int64(1) + UPPER * np.int64(2) + LOWER_CASE * np.int64(3)
 
 O, B, I = 0, 1, 2  # noqa: E741
-BUCKETS = 1 << 12
+BUCKETS = 1 << 14
 NEVER = -1e9
-#: Documents of the training sample, and stretches used of them.
+#: Alphabets of the keys planted for training.
+ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", _LETTERS.decode(), _LETTERS.decode() + "0123456789", _LETTERS.decode() + "0123456789+/_-")
+#: Documents and bytes of text of the training sample, stretches used of them, and tokens of a stretch.
 TRAIN_DOCS = 4000
-TRAIN_STRETCHES = 20_000
+TRAIN_BYTES = 32 << 20
+TRAIN_STRETCHES = 6000
 LONGEST = 8
+#: Of stretches without any odd token one in so many is for training.
+ORDINARY = 16
+#: Tokens whose scores are summed up at once.
+BLOCK_TOKENS = 1 << 14
 
 
 def base_spans(text: bytes, hex_runs: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
@@ -54,95 +75,130 @@ def base_spans(text: bytes, hex_runs: list[tuple[int, int]]) -> list[tuple[int,
     return sorted(out, key=lambda x: (x[0], KINDS[x[2]]))
 
 
-def _bucket(feature: str) -> int:
-    value = 2166136261
-    for c in feature.encode():
-        value = (value ^ c) * 16777619 & 0xFFFFFFFF
-    return value % BUCKETS
-
-
-_known: dict[str, int] = {}
+class Tokens:
+    """All tokens of a slice of texts, their features, and the runs of hex digits of 24 or more by text."""
 
-
-def _ids(features: list[str]) -> list[int]:
-    if len(_known) > 100_000:
-        _known.clear()
-    return [_known[f] if f in _known else _known.setdefault(f, _bucket(f)) for f in features]
-
-
-def features(text: bytes, start: int, end: int, density: int) -> tuple[list[int], list[int]]:
-    """Feature numbers of a token: (shape and document, context)."""
-    token = text[start:end]
-    n = len(token)
-    digits = sum(48 <= c <= 57 for c in token)
-    upper, lower = sum(65 <= c <= 90 for c in token), sum(97 <= c <= 122 for c in token)
-    marks = n - digits - upper - lower
-    counts = np.bincount(np.frombuffer(token, np.uint8))
-    p = counts[counts > 0] / n
-    entropy = float(-(p * np.log2(p)).sum())
-    kind = f"{bool(digits)}{bool(upper)}{bool(lower)}{bool(marks)}"
-    turns = sum((48 <= a <= 57) != (48 <= b <= 57) for a, b in zip(token, token[1:], strict=False))
-    shape = [f"n{min(n // 4, 12)}", f"k{kind}", f"e{int(entropy * 2)}", f"d{10 * digits // n}", f"t{min(turns, 12)}", f"kn{kind}{min(n // 8, 6)}", f"hex{bool(re.fullmatch(rb'[0-9a-f]+', token))}{min(n // 8, 6)}", f"dots{min(token.count(b'.'), 4)}", f"doc{density}", "bias"]
-    before, after = text[max(0, start - 40) : start], text[end : end + 3]
-    words = re.findall(rb"[A-Za-z_]+", before)
-    context = [f"p1{words[-1].lower().decode()}" if words else "p1", f"p2{words[-2].lower().decode()}" if len(words) > 1 else "p2", f"m{before[-3:].strip().decode('latin1')}", f"a{after[:1].decode('latin1')}", f"at{before[-1:] == b'@' or after[:1] == b'@'}"]
-    return _ids(shape), _ids(context)
-
-
-class Stretches:
-    """Tokens of a slice that may be secrets, in stretches of neighbours. rows: (text, start, end in its bytes, stretch)."""
-
-    def __init__(self, batch: pa.RecordBatch):
-        self.data, self.offs = text_bytes(batch.column("text"))
-        words = Words(self.data, self.offs, TOKEN, hashed=False)
-        digits = np.concatenate([[0], np.cumsum(DIGIT[self.data])])
-        able = np.flatnonzero((words.ends - words.starts >= 8) & (digits[words.ends] > digits[words.starts])) if len(words.starts) else np.zeros(0, np.int64)
-        text = np.searchsorted(words.first, able, "right") - 1
-        stretch = np.cumsum(np.concatenate([[True], (np.diff(able) > 1) | (np.diff(text) > 0)])) if len(able) else able
-        base = self.offs[text]
-        self.rows = list(zip(text.tolist(), (words.starts[able] - base).tolist(), (words.ends[able] - base).tolist(), stretch.tolist(), strict=True))
-        runs = Words(self.data, self.offs, HEX, hashed=False)
+    def __init__(self, data: np.ndarray, offs: np.ndarray):
+        self.data, self.offs = data, offs
+        words = Words(data, offs, TOKEN, LOWER)
+        self.starts, self.ends, self.first, self.hashes = words.starts, words.ends, words.first, words.hashes
+        self.text = np.searchsorted(self.first, np.arange(len(self.starts)), "right") - 1
+        runs = Words(data, offs, HEX, hashed=False)
         long = np.flatnonzero(runs.ends - runs.starts >= 24)
         where = np.searchsorted(runs.first, long, "right") - 1
         self.hex: dict[int, list[tuple[int, int]]] = {}
-        for t, s, e in zip(where.tolist(), (runs.starts[long] - self.offs[where]).tolist(), (runs.ends[long] - self.offs[where]).tolist(), strict=True):
+        for t, s, e in zip(where.tolist(), (runs.starts[long] - offs[where]).tolist(), (runs.ends[long] - offs[where]).tolist(), strict=True):
             self.hex.setdefault(t, []).append((s, e))
-        self.by_text: dict[int, list[list[tuple[int, int]]]] = {}
-        last = None
-        for t, s, e, k in self.rows:
-            at = self.by_text.setdefault(t, [])
-            if k != last:
-                at.append([])
-                last = k
-            at[-1].append((s, e))
-
-    def text(self, k: int) -> bytes:
+        digits = self.count(DIGITS)
+        self.odd = (self.ends - self.starts >= 8) & (digits > 0)
+        per_text = np.bincount(self.text[self.odd], minlength=len(offs) - 1)
+        self.density = np.minimum(9, 2000 * per_text // np.maximum(np.diff(offs), 200))
+
+    def text_bytes(self, k: int) -> bytes:
         return self.data[self.offs[k] : self.offs[k + 1]].tobytes()
 
+    def count(self, kind: np.ndarray, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """How many characters of a kind each of the tokens lo .. hi has."""
+        return self._sums(kind, lo, hi, turns=False)
+
+    def turns(self, kind: np.ndarray, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """How often two neighbouring characters of a token differ in being of a kind."""
+        return self._sums(kind, lo, hi, turns=True)
+
+    def _sums(self, kind: np.ndarray, lo: int, hi: int | None, turns: bool) -> np.ndarray:
+        out = []
+        for k in range(lo, len(self.starts) if hi is None else hi, BLOCK_TOKENS):
+            s, e = self.starts[k : min(k + BLOCK_TOKENS, len(self.starts) if hi is None else hi)], self.ends[k : min(k + BLOCK_TOKENS, len(self.ends) if hi is None else hi)]
+            inside = kind[self.data[s[0] : e[-1]]]
+            if turns:
+                inside = np.concatenate([[False], inside[1:] != inside[:-1]])
+            sums = np.concatenate([[0], np.cumsum(inside)])
+            out.append(sums[e - s[0]] - sums[s - s[0] + (1 if turns else 0)])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def features(self, lo: int, hi: int, density: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Feature numbers of the tokens lo .. hi, a row for each: (shape and file, context)."""
+        s, e, data = self.starts[lo:hi], self.ends[lo:hi], self.data
+        n = e - s
+        digits, upper, lower = (self.count(k, lo, hi) for k in (DIGITS, UPPER, LOWER_CASE))
+        letters, marks = upper + lower, n - digits - upper - lower
+        kind = (digits > 0) * 1 + (upper > 0) * 2 + (lower > 0) * 4 + (marks > 0) * 8
+        whole_hex = self.count(HEX, lo, hi) == n
+        cases = np.minimum(self.turns(UPPER, lo, hi), 12)
+        eighth, vowels = np.minimum(n // 8, 6), self.count(VOWELS, lo, hi)
+        files = np.full(len(n), density) if density is not None else self.density[self.text[lo:hi]]
+        shape = (
+            np.minimum(n, 48) // 2, kind, 10 * digits // n, 10 * vowels // np.maximum(letters, 1) + 11 * (letters == 0), np.minimum(self.turns(DIGITS, lo, hi), 12),
+            cases, (np.minimum(cases, 3) * 16 + kind) * 7 + eighth, kind * 7 + eighth, whole_hex * 7 + eighth, np.minimum(self.count(DOTS, lo, hi), 4), np.minimum(marks, 4),
+            KIND_OF[data[s]] * 4 + KIND_OF[data[e - 1]], files, np.zeros(len(n), np.int64),
+        )
+        begin, end = self.offs[self.text[lo:hi]], self.offs[self.text[lo:hi] + 1]
+        at = lambda place: np.where((place >= begin) & (place < end), data[np.clip(place, 0, len(data) - 1)].astype(np.int64), 256)
+
+        def neighbour(step: int) -> np.ndarray:
+            k = np.arange(lo, hi) + step
+            inside = (k >= 0) & (k < len(self.text))
+            inside[inside] = self.text[k[inside]] == self.text[lo:hi][inside]
+            return np.where(inside, (self.hashes[np.clip(k, 0, len(self.hashes) - 1)] >> np.uint64(20)).astype(np.int64), 0)
+
+        mark = at(s - 1)
+        context = (neighbour(-1), neighbour(-2), neighbour(1), mark, at(s - 2) * 257 + mark, at(e), (mark == 64) | (at(e) == 64))
+        number = lambda j, x: (mix((np.asarray(x).astype(np.uint64) + np.uint64(j << 48)) * GOLD) % np.uint64(BUCKETS)).astype(np.int64)
+        return np.stack([number(j, x) for j, x in enumerate(shape, 1)], axis=1), np.stack([number(j, x) for j, x in enumerate(context, 50)], axis=1)
 
-def _density(text: bytes, stretches: list) -> int:
-    return min(9, int(2000 * sum(map(len, stretches)) / max(len(text), 200)))
+
+def features(text: bytes, start: int, end: int, density: int) -> tuple[list[int], list[int]]:
+    """Feature numbers of the token at start of a text of that density: (shape and file, context)."""
+    data = np.frombuffer(text, np.uint8)
+    tokens = Tokens(data, np.array([0, len(data)]))
+    k = int(np.searchsorted(tokens.starts, start))
+    shape, context = tokens.features(k, k + 1, density)
+    return shape[0].tolist(), context[0].tolist()
+
+
+def secret_places(text: bytes, spans: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Of base spans the secret itself: the value of an assignment, or all of another span."""
+    return sorted({(ASSIGN.match(text, s).start(2), e) if kind == "assign" else (s, e) for s, e, kind in spans})
+
+
+def planted(text: bytes) -> tuple[bytes, list[tuple[int, int]]]:
+    """The text with up to two made-up keys put in at spaces, always the same ones for a text, and where they stand."""
+    rng = random.Random(zlib.crc32(text))
+    spaces = [k for k in (text.find(b" ", rng.randrange(len(text) + 1)) for _ in range(rng.randrange(3))) if k >= 0]
+    out, spans, last, shift = [], [], 0, 0
+    for k in sorted(set(spaces)):
+        key = "".join(rng.choices(rng.choice(ALPHABETS), k=rng.randint(16, 44))).encode()
+        out += [text[last:k], b" ", key]
+        spans.append((k + shift + 1, k + shift + 1 + len(key)))
+        last, shift = k, shift + 1 + len(key)
+    return b"".join([*out, text[last:]]), spans
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches for training: (is ordinary, hash, tags, shape, context), the last three packed."""
     for batch in slices(batches):
-        found, rows = Stretches(batch), []
-        for t, stretches in found.by_text.items():
-            text = found.text(t)
-            spans, density = base_spans(text, found.hex.get(t, [])), _density(text, stretches)
-            for stretch in stretches:
-                tags, last = [], None
-                for s, e in stretch:
-                    hit = next((k for k, (a, b, _) in enumerate(spans) if a < e and s < b), None)
-                    tags.append(O if hit is None else I if hit == last else B)
-                    last = hit
-                both = [features(text, s, e, density) for s, e in stretch]
-                for lo in range(0, len(stretch), LONGEST):
-                    part = slice(lo, lo + LONGEST)
-                    if tags[lo] != I:
-                        rows.append((tags[part], [x for x, _ in both[part]], [y for _, y in both[part]]))
-        ints = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], ints), pa.array([r[1] for r in rows], pa.list_(ints)), pa.array([r[2] for r in rows], pa.list_(ints))], names=["tags", "shape", "context"])
+        texts = [planted(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column("text")]
+        tokens, rows = Tokens(*text_bytes(pa.array([t for t, _ in texts], pa.binary()))), []
+        tags = np.zeros(len(tokens.starts), np.int64)
+        for t in range(batch.num_rows):
+            text = tokens.text_bytes(t)
+            lo, hi, base = int(tokens.first[t]), int(tokens.first[t + 1]), int(tokens.offs[t])
+            for s, e in sorted({*secret_places(text, base_spans(text, tokens.hex.get(t, []))), *texts[t][1]}):
+                k = lo + int(np.searchsorted(tokens.ends[lo:hi], base + s, "right"))
+                end = lo + int(np.searchsorted(tokens.starts[lo:hi], base + e))
+                tags[k:end] = I
+                tags[k : min(k + 1, end)] = B
+            shapes, contexts = (x.astype(np.int32) for x in tokens.features(lo, hi)) if hi > lo else ((), ())
+            for k in range(lo, hi, LONGEST):
+                end = min(k + LONGEST, hi)
+                if tags[k] == I:
+                    continue
+                secret, key = bool(tags[k:end].any()), int(np.bitwise_xor.reduce(mix(tokens.hashes[k:end] + np.arange(end - k, dtype=np.uint64))))
+                if secret or tokens.odd[k:end].any() or key % ORDINARY == 0:
+                    part = slice(k - lo, end - lo)
+                    rows.append((not secret, key - (1 << 63), tags[k:end].astype(np.int32).tobytes(), shapes[part].tobytes(), contexts[part].tobytes()))
+        kinds = (pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names=["ordinary", "key", "tags", "shape", "context"])
 
 
 class Chain:
@@ -158,9 +214,12 @@ class Chain:
         return blocked
 
     def viterbi(self, stretch: list[list[int]]) -> list[int]:
+        """The best tags of tokens with these feature numbers, between tokens outside."""
+        return self.decode([self.unary[ids].sum(axis=0) for ids in stretch])
+
+    def decode(self, scores) -> list[int]:
         score, back, moves = None, [], self.moves + self.allowed()
-        for ids in stretch:
-            here = self.unary[ids].sum(axis=0)
+        for here in scores:
             if score is None:
                 score = moves[O] + here
             else:
@@ -174,8 +233,24 @@ class Chain:
             out.append(tag)
         return out[::-1]
 
+    def tags(self, tokens: Tokens) -> Iterator[tuple[int, list[int]]]:
+        """(first token, tags) of each stretch of the best sequences; all tokens between stretches are outside."""
+        unary, parts = self.unary.astype(np.float32), [np.zeros((0, 3), np.float32)]
+        for lo in range(0, len(tokens.starts), BLOCK_TOKENS):
+            shape, context = tokens.features(lo, min(lo + BLOCK_TOKENS, len(tokens.starts)))
+            parts.append(sum(unary[ids] for ids in (*shape.T, *context.T)))
+        scores = np.concatenate(parts)
+        allowed = np.delete(self.moves.ravel(), O * 3 + I)
+        follow = np.zeros(len(scores))
+        follow[:-1] = np.where(tokens.text[1:] == tokens.text[:-1], np.maximum(0, scores[1:, I] - scores[1:, B]), 0)
+        open_ = np.flatnonzero(scores[:, O] - scores[:, 1:].max(axis=1) <= 3 * (allowed.max() - allowed.min()) + follow + 1e-3)
+        if len(open_):
+            cuts = np.flatnonzero((np.diff(open_) > 1) | (np.diff(tokens.text[open_]) > 0)) + 1
+            for stretch in np.split(open_, cuts):
+                yield int(stretch[0]), self.decode(scores[stretch].astype(float))
+
     @classmethod
-    def train(cls, examples: list[tuple[list[int], list[list[int]], list[list[int]]]], epochs: int = 120, rate: float = 0.1, decay: float = 1e-3, dropped: float = 0.3, seed: int = 7) -> Chain:
+    def train(cls, examples: list[tuple[list[int], list[list[int]], list[list[int]]]], epochs: int = 120, rate: float = 0.1, decay: float = 3e-4, dropped: float = 0.5, seed: int = 7) -> Chain:
         """Maximum likelihood by Adam; every step is over all examples, so its result doesn't depend on their order."""
         model = cls(np.zeros((BUCKETS, 3)), np.zeros((3, 3)))
         if not examples:
@@ -233,36 +308,37 @@ class Chain:
         return model
 
 
-def train_chain(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = TRAIN_DOCS, stretches: int = TRAIN_STRETCHES) -> Chain:
-    """Train on the docs documents of smallest id hash, and on the first `stretches` stretches of them at most."""
-    sample = hash_sample(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", docs)
-    rows = sample.select("text").mapInArrow(_examples, "tags array<int>, shape array<array<int>>, context array<array<int>>").limit(stretches).collect()
-    return Chain.train([(list(r.tags), [list(x) for x in r["shape"]], [list(x) for x in r["context"]]) for r in rows])
+def train_chain(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", docs: int = TRAIN_DOCS, stretches: int = TRAIN_STRETCHES, most_bytes: int = TRAIN_BYTES
+) -> Chain:
+    """Train on the docs documents of smallest id hash (most_bytes of text of them at most), and on `stretches` stretches of theirs.
+
+    Stretches with a secret come first, then those of smallest hash, so that weights are the same each time.
+    """
+    sample = hash_sample(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", docs, "text", most_bytes)
+    found = sample.select("text").mapInArrow(_examples, "ordinary boolean, key long, tags binary, shape binary, context binary")
+    rows = found.orderBy("ordinary", "key", "tags", "shape", "context").limit(stretches).collect()
+    lists = lambda raw, n: np.frombuffer(raw, np.int32).reshape(n, -1).tolist()
+    return Chain.train([(np.frombuffer(r.tags, np.int32).tolist(), lists(r["shape"], len(r.tags) // 4), lists(r["context"], len(r.tags) // 4)) for r in rows])
 
 
 def _scan(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     for batch in slices(batches):
-        found, out = Stretches(batch), []
+        tokens, out = Tokens(*text_bytes(batch.column("text"))), []
+        fields: dict[int, list[tuple[int, int]]] = {}
+        for at, tags in chain.tags(tokens):
+            for k, tag in enumerate(tags):
+                if tag == B:
+                    last = k
+                    while last + 1 < len(tags) and tags[last + 1] == I:
+                        last += 1
+                    t = int(tokens.text[at])
+                    fields.setdefault(t, []).append((int(tokens.starts[at + k] - tokens.offs[t]), int(tokens.ends[at + last] - tokens.offs[t])))
         for t in range(batch.num_rows):
-            text = found.text(t)
-            spans = base_spans(text, found.hex.get(t, []))
-            n_base = len(spans)
-            stretches = found.by_text.get(t, [])
-            density = _density(text, stretches)
-            for stretch in stretches:
-                tags = chain.viterbi([x + y for x, y in (features(text, s, e, density) for s, e in stretch)])
-                at = 0
-                while at < len(tags):
-                    if tags[at] == B:
-                        last = at
-                        while last + 1 < len(tags) and tags[last + 1] == I:
-                            last += 1
-                        s, e = stretch[at][0], stretch[last][1]
-                        if not any(a < e and s < b for a, b, _ in spans[:n_base]):
-                            spans.append((s, e, "crf"))
-                        at = last
-                    at += 1
+            text = tokens.text_bytes(t)
+            spans = base_spans(text, tokens.hex.get(t, []))
+            spans += [(s, e, "crf") for s, e in fields.get(t, []) if not any(a <= s and e <= b for a, b, _ in spans)]
             if spans and not text.isascii():
                 raw = np.frombuffer(text, np.uint8)
                 points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
@@ -274,8 +350,8 @@ def _scan(batches: Iterator[pa.RecordBatch], chain: Chain) -> Iterator[pa.Record
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: Chain | None = None) -> DataFrame:
     """Per row: id, spans (kind, start, end in code points, by start and then kind).
 
-    Kinds assign, access and hex are the fixed patterns; crf are spans that only the trained field finds (none of them
-    overlaps a pattern's). Null and empty texts have no spans. Every row gives one row, so repeated rows and null ids
+    Kinds assign, access and hex are the fixed patterns; crf are the trained field's spans (but for those that lie
+    inside a pattern's). Null and empty texts have no spans. Every row gives one row, so repeated rows and null ids
     stay. Other columns don't matter; an empty table gives an empty result.
     """
     chain = train_chain(df, id_col, text_col) if chain is None else chain

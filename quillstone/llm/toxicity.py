@@ -15,32 +15,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import ALNUM, LOWER, Words, hash_sample, mix, slices, small, text_bytes
+from quillstone.llm.common import ALNUM, LOWER, Words, discard, hash_sample, materialise, mix, slices, small, text_bytes
 
 PLACES = 1 << 18
+#: Words that a worker turns into features at once.
+BLOCK_WORDS = 1 << 19
 #: Labelled rows of the training sample.
 TRAIN_ROWS = 12_000
+#: Bytes of their texts.
+TRAIN_BYTES = 64 << 20
 
 
-def feature_places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(text, place) of each feature of a slice, with repeats."""
-    words = Words(*text_bytes(batch.column("text")), ALNUM, LOWER)
-    h, text = words.hashes, np.repeat(np.arange(batch.num_rows), np.diff(words.first))
-    parts = [(text, h)]
+def feature_places(words: Words, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place) of each feature that starts at the words lo .. hi of a slice, with repeats."""
+    end = min(hi + 2, len(words.hashes))
+    h, text = words.hashes[lo:end], np.searchsorted(words.first, np.arange(lo, end), "right") - 1
+    parts = [(text[: hi - lo], h[: hi - lo])]
     for gap, salt in ((1, 0x51ED2701), (2, 0x7A3B9C05)):
-        whole = text[gap:] == text[:-gap] if len(h) > gap else np.zeros(0, bool)
+        n = min(hi - lo, len(h) - gap)
+        whole = text[gap : gap + n] == text[:n] if n > 0 else np.zeros(0, bool)
         if whole.any():
-            parts.append((text[:-gap][whole], mix(h[:-gap] * np.uint64(3) + h[gap:] + np.uint64(salt))[whole]))
+            parts.append((text[:n][whole], mix(h[:n] * np.uint64(3) + h[gap : gap + n] + np.uint64(salt))[whole]))
     return np.concatenate([t for t, _ in parts]), (np.concatenate([x for _, x in parts]) >> np.uint64(64 - 18)).astype(np.int64)
 
 
+def distinct_features(batch: pa.RecordBatch, wanted: np.ndarray | None = None) -> np.ndarray:
+    """text * PLACES + place of each distinct feature of a slice, sorted; of the wanted places alone, if given. Works block by block of words."""
+    words, out = Words(*text_bytes(batch.column("text")), ALNUM, LOWER), np.zeros(0, np.int64)
+    for lo in range(0, len(words.hashes), BLOCK_WORDS):
+        text, place = feature_places(words, lo, min(lo + BLOCK_WORDS, len(words.hashes)))
+        keep = slice(None) if wanted is None else wanted[place]
+        out = np.union1d(out, text[keep] * PLACES + place[keep])
+    return out
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        text, place = feature_places(batch)
-        pair = np.unique(text * PLACES + place)
+        pair = distinct_features(batch)
         bounds = np.searchsorted(pair, np.arange(batch.num_rows + 1) * PLACES)
         x = (pair % PLACES).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array([x[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], names=["id", "label", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())], names=["label", "x"])
 
 
 @dataclass
@@ -76,21 +90,34 @@ class Ftrl:
         return w.astype(np.float32)
 
 
-def train_toxicity(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights from the labelled rows where `learn` holds: those of smallest id hash, `rows` of them at most."""
-    marked = hash_sample(labels.where(learn & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")), "id", rows)
-    joined = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(marked), "id").select("id", "label", "text")
-    got = sorted(joined.mapInArrow(_features, "id long, label int, x binary").collect(), key=lambda r: (r.id, r.label, r.x))
-    return Ftrl().train([(r.label, np.frombuffer(r.x, np.int32)) for r in got])
+def train_toxicity(
+    df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES
+) -> np.ndarray:
+    """Weights from the labelled rows where `learn` holds: those of smallest id hash, `rows` rows and most_bytes of text of them at most.
+
+    Ids may be of any type. Texts that share an id share its label, rows that repeat id and text count once; an id with
+    two labels teaches both.
+    """
+    marked = labels_sample(labels, learn, id_col, label_col, rows)
+    joined = materialise(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(marked), "id"))
+    sample = hash_sample(joined, "id", rows, "text", most_bytes).select("label", "text")
+    got = sorted((r.label, r.x) for r in sample.mapInArrow(_features, "label int, x binary").collect())  # eight bytes a word of the sample at most
+    discard(joined, marked)
+    return Ftrl().train([(label, np.frombuffer(x, np.int32)) for label, x in got])
+
+
+def labels_sample(labels: DataFrame, learn: Column, id_col: str, label_col: str, rows: int) -> DataFrame:
+    """(id, label) of labelled rows where learn holds, a written table of `rows` rows at most."""
+    marked = labels.where(learn & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    return materialise(hash_sample(marked, "id", rows))
 
 
 def _score(batches: Iterator[pa.RecordBatch], places: np.ndarray, weights: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
     dense = np.zeros(PLACES, np.float32)
     dense[places] = weights
+    used = dense != 0
     for batch in slices(batches):
-        text, place = feature_places(batch)
-        used = dense[place] != 0
-        pair = np.unique(text[used] * PLACES + place[used])
+        pair = distinct_features(batch, used)
         z = np.bincount(pair // PLACES, dense[pair % PLACES], batch.num_rows) + bias
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], names=["id", "score"])
 

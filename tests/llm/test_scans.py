@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -47,6 +48,45 @@ def test_license_templates(spark):
     assert [got[k] for k in range(10, 18)] == [{"gpl-3.0"}, {"cc-by-nc"}, {"mit"}, {"apache-2.0"}, {"apache-2.0"}, set(), {"copyright"}, {"cc-by-sa"}]
 
 
+def plain_wording(template):
+    """A text that a template accepts: optional words in, one word for each replaceable region that needs one."""
+    filled = re.sub(r"<<any:(\d+)-\d+(?::\w+)?>>", lambda m: "word " * int(m[1]), template)
+    return re.sub(r"<</?optional>>", " ", filled)
+
+
+def test_whole_licenses_are_required_to_their_end():
+    scan = license_scan.Scanner(license_scan.PHRASES, license_scan.TEMPLATES)
+    for label, template in license_scan.TEMPLATES.items():
+        words = plain_wording(template).split()
+        text = "; ".join(["start", *words, "end"]).encode()
+        assert label in {s[0] for s in scan(text)[3]}, label
+        if label in ("mit-text", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense", "apache-2.0-notice"):
+            changed = [*words[:-1], "otherwise"]
+            assert label not in {s[0] for s in scan(" ".join(changed).encode())[3]}, label
+    gnu = "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    assert {s[0] for s in scan(gnu.encode())[3]} == {"lgpl-2.1-or-later"}
+
+
+def test_license_blocks_and_many_hits():
+    """Blocks of any size give the same result as whole texts, and many hits take linear time."""
+    rng = random.Random(1)
+    bits = ["copyright all rights reserved", "cc by", "general public license", "released under the mit license", "copyright (c) 2020 x y. All rights reserved", "foo", "é x", "x" * 70]
+    bits += [plain_wording(license_scan.TEMPLATES[k]) for k in ("mit-text", "zlib")]
+    whole = license_scan.Scanner(license_scan.PHRASES, license_scan.TEMPLATES)
+    parts = license_scan.Scanner(license_scan.PHRASES, license_scan.TEMPLATES, block=50)
+    for _ in range(60):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randint(0, 12))).encode()
+        assert whole(text) == parts(text)
+
+    def seconds(n):
+        began = time.process_time()
+        assert len(whole(b"copyright all rights reserved " * n)[1]) == n
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 20 * max(seconds(5000), 0.05)
+
+
 def test_template_markup():
     a = license_scan.Automaton.compile("t", "you may <<optional>>always <<optional>>freely<</optional>><</optional>> copy <<any:1-3:what>> today")
     assert [a.match(t.encode().split(), 0) for t in ("you may copy it today", "you may always copy a b c today", "you may always freely copy it today", "you may freely copy it today", "you may copy today", "you may copy a b c d today")] == [5, 8, 7, None, None, None]
@@ -89,6 +129,46 @@ def test_field_learns_and_decodes():
     assert hits >= 95
 
 
+def test_field_finds_secrets_without_key_words(spark):
+    """Keys planted in plain text, where no pattern applies, are found by the field alone; plain text is left alone."""
+    rng = random.Random(9)
+    vowels, consonants = "aeiou", "bcdfglmnprst"
+    word = lambda: "".join(rng.choice(consonants) + rng.choice(vowels) for _ in range(rng.randint(1, 4)))
+    plain = [" ".join(word() for _ in range(80)).capitalize() + ". Mail user@example.com on 12.08.2020." for _ in range(300)]
+    learned = [t + (f" password = x{k}yz9q1 ok" if k % 9 == 0 else "") for k, t in enumerate(plain)]
+    chain = secret_scan.train_chain(frame(spark, learned))
+    texts, places = [], []
+    for k, alphabet in enumerate(("0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") * 20):
+        key = "".join(rng.choices(alphabet, k=20))
+        texts.append(plain[k][:100] + " " + key + " " + plain[k][100:])
+        places.append((101, 101 + len(key)))
+    found = {r.doc_id: {(s.start, s.end) for s in r.spans if s.kind == "crf"} for r in secret_scan.scan_secrets(frame(spark, texts), chain=chain).collect()}
+    assert np.mean([places[k] in found[k] for k in range(len(texts))]) >= 0.9
+    calm = secret_scan.scan_secrets(frame(spark, plain[100:]), chain=chain).collect()
+    assert sum(bool(r.spans) for r in calm) <= 0.02 * len(calm)
+
+
+def test_stretches_fall_apart_exactly():
+    """Decoding the stretches between tokens that are surely outside gives the tags of decoding whole texts."""
+    rng = np.random.default_rng(2)
+    chain = secret_scan.Chain(rng.normal(size=(secret_scan.BUCKETS, 3)), rng.normal(size=(3, 3)))
+    chain.unary[:, secret_scan.O] += 0.25
+    import pyarrow as pa
+
+    from quillstone.llm.common import text_bytes
+
+    texts = ["", "one", " ".join(f"w{k}" for k in range(60)), "a b c=d e/f " * 9]
+    tokens = secret_scan.Tokens(*text_bytes(pa.array(texts)))
+    tags = np.zeros(len(tokens.starts), int)
+    for at, found in chain.tags(tokens):
+        tags[at : at + len(found)] = found
+    for k in range(len(texts)):
+        lo, hi = int(tokens.first[k]), int(tokens.first[k + 1])
+        if hi > lo:
+            ids = [[*a, *b] for a, b in zip(*(x.tolist() for x in tokens.features(lo, hi)), strict=True)]
+            assert chain.viterbi(ids) == tags[lo:hi].tolist()
+
+
 def test_viterbi_is_the_best_sequence():
     import itertools
 
@@ -170,6 +250,54 @@ def test_decontamination(spark):
     assert blocks == set(got)
 
 
+@pytest.mark.parametrize("n", [6, 15, 30, 55, 90])
+def test_decontamination_recall_at_every_edit_count(n):
+    """Random inserts, deletes and changes: at least the target share of matches is found, with no more edits than were made."""
+    rng = random.Random(n)
+    item = [f"w{k}" for k in range(n)]
+    repetitions = {n: decontaminate.planned_repetitions(n, decontaminate.RECALL)}
+    texts, made = [], []
+    for edits in range(decontaminate.allowed_edits(n) + 1):
+        for _ in range(12):
+            w = list(item)
+            for _ in range(edits):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randint(0, 1)] = rng.choice(([], [f"z{rng.randrange(99)}"]))
+            texts.append(" ".join(["q"] * rng.randint(0, 9) + w + ["q"] * rng.randint(0, 9)))
+            made.append(edits)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    rows = [r for b in decontaminate._search(iter([batch]), (" ".join(item),), [7], pa.int64(), tuple(repetitions.items())) for r in b.to_pylist()]
+    found = {r["id"]: r["edits"] for r in rows}
+    assert all(found[i] <= made[i] for i in found) and all(i in found for i, e in enumerate(made) if e == 0)
+    for edits in set(made):
+        mine = [i for i, e in enumerate(made) if e == edits]
+        assert sum(i in found for i in mine) >= 0.9 * len(mine)
+
+
+def test_items_with_a_common_opening():
+    """Thousands of items that begin alike, and texts full of that opening, stay cheap and are found exactly."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    items = [" ".join(["which of the following is true"] + [f"v{rng.randrange(3000)}" for _ in range(20)]) for _ in range(3000)]
+    texts = [" which of the following is true" * 2000, "so " + items[17] + " and " + items[2500]]
+    n = {26: 16}
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(texts)], names=["id", "text"])
+    rows = [r for b in decontaminate._search(iter([batch]), tuple(items), list(range(3000)), pa.int64(), tuple(n.items())) for r in b.to_pylist()]
+    assert {(r["id"], r["item_id"], r["edits"]) for r in rows} == {(1, 17, 0), (1, 2500, 0)}
+
+
+def test_ids_of_any_type(spark):
+    docs = spark.createDataFrame([("x", "a b c d e f"), (None, "a b c d e f"), ("y", "g")], "doc_id string, text string")
+    items = spark.createDataFrame([("i", "a b c d e f")], "item_id string, text string")
+    assert sorted(map(str, (r.doc_id for r in decontaminate.find_items(docs, items).collect()))) == ["None", "x"]
+    assert [r.item_id for r in decontaminate.find_items(docs, items).collect()] == ["i", "i"]
+    kept = decontaminate.decontaminate(docs.withColumns({"__h1": F.lit(1), "key": F.lit(2)}), items).collect()
+    assert [(r.doc_id, r["__h1"], r.key) for r in kept] == [("y", 1, 2)]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert license_scan.scan_licenses(empty).count() == 0
