@@ -94,6 +94,65 @@ def test_substring_spans(docs):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed and all(a.end < b.start for a, b in zip(r.spans, r.spans[1:], strict=False))
 
 
+def test_longest_matches_and_greedy_parse():
+    """Against a plain search for the longest match of each place, and a parse step by step."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        lengths = rng.integers(1, 9, rng.integers(1, 12))
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        prints = rng.integers(0, 4, bounds[-1]).astype(np.uint64)
+        ends = np.repeat(bounds[1:], lengths)
+
+        def match(i, j):
+            n = 0
+            while i + n < ends[i] and j + n < ends[j] and prints[i + n] == prints[j + n]:  # noqa: B023
+                n += 1
+            return n
+
+        want = [max((match(i, j) for j in range(len(prints)) if j != i), default=0) for i in range(len(prints))]
+        length, place = substring_dedup.longest_matches(prints, ends)
+        assert length.tolist() == want
+        assert all(n == 0 or (place[i] != i and match(i, place[i]) == n) for i, n in enumerate(want))
+        factors = []
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            at = lo
+            while at < hi:
+                factors += [(at, want[at])] if want[at] else []
+                at += max(want[at], 1)
+        places, lengths_, _ = substring_dedup.greedy_parse(prints, bounds)
+        assert sorted(zip(places.tolist(), lengths_.tolist(), strict=True)) == sorted(factors)
+
+
+@pytest.mark.parametrize("hot", [4_000, 1])
+def test_factors_point_to_the_same_words(spark, hot):
+    rows = [(i, t or "") for i, (_, t, *_) in enumerate(corpus())]
+    words = {i: t.encode().split() for i, t in rows}
+    found = substring_dedup.relative_factors(spark.createDataFrame(rows, "id long, text string"), hot=hot).collect()
+    assert len(found) > 50
+    for r in found:
+        n = r.windows - 1 + substring_dedup.WINDOW
+        assert (r.id, r.start) != (r.source, r.source_start)
+        assert words[r.id][r.start : r.start + n] == words[r.source][r.source_start : r.source_start + n] and r.start + n <= len(words[r.id])
+
+
+def test_filter_build_is_about_linear():
+    import time
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+
+    def seconds(n):
+        values = rng.integers(0, 1 << 63, n)
+        began = time.process_time()
+        slabs = list(exact_dedup._filters((pa.RecordBatch.from_arrays([pa.array(values[k : k + 2000])], names=["fp"]) for k in range(0, n, 2000)), 6))
+        assert sum(len(exact_dedup.QuotientFilter.unpack(b.column("filter")[0].as_py()).remainders) for b in slabs) == n
+        return time.process_time() - began
+
+    seconds(20_000)
+    assert seconds(400_000) < 10 * max(seconds(100_000), 0.05)
+
+
 def shingles(text):
     w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
     return frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
