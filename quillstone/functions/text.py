@@ -269,8 +269,10 @@ def heading_has_prefix(heading: Column, prefix: Column) -> Column:
 
 
 def citation_label(title: Column, page: Column, retrieved: Column) -> Column:
-    """`[title, page n, retrieved date]`; missing parts are left out."""
-    return F.concat(F.lit("["), F.concat_ws(", ", title, F.concat(F.lit("page "), page.cast("string")), F.concat(F.lit("retrieved "), F.date_format(retrieved, "yyyy-MM-dd"))), F.lit("]"))
+    """`[title, page n, retrieved date]`, with words of its own for a page or a date that is missing."""
+    number = F.coalesce(F.concat(F.lit("page "), page.cast("string")), F.lit("page n/a"))
+    day = F.coalesce(F.date_format(retrieved, "yyyy-MM-dd"), F.lit("retrieval date unavailable"))
+    return F.concat(F.lit("["), title, F.lit(", "), number, F.lit(", retrieved "), day, F.lit("]"))
 
 
 def page_label(start: Column, end: Column) -> Column:
@@ -371,20 +373,36 @@ def escape_regex(text: Column) -> Column:
     return F.regexp_replace(text, r"([.*+?^${}()|\[\]\\])", r"\\$1")
 
 
-def append_caveat(caveats: Column, caveat: Column) -> Column:
-    """An array of caveats with one more, if it isn't there and isn't null."""
-    return F.when(caveat.isNull() | F.array_contains(caveats, caveat), caveats).otherwise(F.array_append(caveats, caveat))
+def append_caveat(existing: Column, caveat: Column) -> Column:
+    """The text of caveats with one more after a space, unless the text holds it already; blank texts give way to it."""
+    return F.when(F.trim(F.coalesce(existing, F.lit(""))) == "", caveat).when(F.contains(existing, caveat), existing).otherwise(F.concat(existing, F.lit(" "), caveat))
+
+
+def caveat_list(*caveats: Column) -> Column:
+    """The array of those caveats that are not blank, trimmed, each once and in order."""
+    return F.array_distinct(F.filter(F.transform(F.array(*caveats), lambda c: F.trim(c)), lambda c: c.isNotNull() & (c != "")))
 
 
 def with_caveats(answer: Column, caveats: Column) -> Column:
-    """The answer and those caveats that it doesn't hold already."""
-    return F.concat_ws(" ", answer, F.array_join(F.filter(F.array_distinct(caveats), lambda c: ~F.contains(answer, c)), " "))
+    """The answer, and in a paragraph of their own those caveats that its text doesn't hold already."""
+    missing = F.filter(caveats, lambda c: ~F.contains(answer, c))
+    return F.when(F.size(missing) == 0, answer).otherwise(F.concat(F.trim(answer), F.lit("\n\nCaveats: "), F.array_join(missing, " ")))
+
+
+# Words that ask for a structured or a conversational answer, and the most words of a terse question.
+STRUCTURED_WORDS = r"(?i)\b(list|compare|break down|table|bullets?|steps?|summarize)\b"
+CONVERSATIONAL_WORDS = r"(?i)\b(can you|could you|please|explain|walk me through|what does this mean)\b"
+TERSE_WORDS = 8
 
 
 def question_style(query: Column) -> Column:
-    """list, terse or conversational."""
-    q = F.lower(F.trim(query))
-    return F.when(q.rlike(r"\b(list|which|what are|enumerate|all of)\b"), "list").when((word_count(query) <= 8) | q.rlike(r"^(what is|what's|when|how much|how many|who)\b"), "terse").otherwise("conversational")
+    """structured, terse or conversational: by words that ask for structure, by length, by words of courtesy, else structured."""
+    return (
+        F.when(query.rlike(STRUCTURED_WORDS), "structured")
+        .when(word_count(query) <= TERSE_WORDS, "terse")
+        .when(query.rlike(CONVERSATIONAL_WORDS), "conversational")
+        .otherwise("structured")
+    )
 
 
 def non_blank(text: Column) -> Column:

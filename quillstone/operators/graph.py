@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import dates as D
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillstone-")
-    path = f"{where.rstrip('/')}/quillstone-levels/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from quillstone.scratch import materialise as _cut
 
 
 def ancestors(nodes: DataFrame, start: DataFrame, node: str = "node_id", parent: str = "parent_id", most: int = 32) -> DataFrame:
-    """(start, node, distance) for all ancestors of the start nodes (column `node`), themselves at 0. Cycles end, and so does depth `most`."""
+    """(start, node, distance) for all ancestors of the start nodes (column `node`), themselves at 0. Cycles end; a chain of more than `most` is an error."""
     edges = nodes.select(F.col(node).alias("__n"), F.col(parent).alias("__p")).where("__p IS NOT NULL").distinct()
     frontier = start.select(F.col(node).alias("start"), F.col(node)).distinct().withColumn("distance", F.lit(0))
     seen = _cut(frontier)
@@ -29,9 +19,9 @@ def ancestors(nodes: DataFrame, start: DataFrame, node: str = "node_id", parent:
         step = frontier.join(edges, F.col(node) == F.col("__n")).select("start", F.col("__p").alias(node)).distinct()
         frontier = _cut(step.join(seen.select("start", node), ["start", node], "left_anti").withColumn("distance", F.lit(level)))
         if not frontier.take(1):
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+    raise ValueError(f"some node has ancestors at a distance of {most} or more")
 
 
 def ancestor_paths(nodes: DataFrame, start: DataFrame, node: str = "node_id", parent: str = "parent_id", label: str | None = None) -> DataFrame:
@@ -43,7 +33,10 @@ def ancestor_paths(nodes: DataFrame, start: DataFrame, node: str = "node_id", pa
 
 
 def preorder(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id", order: str = "position", most: int = 64) -> DataFrame:
-    """All nodes below the roots with depth and pre-order place, by a sort key made of the positions on the way down."""
+    """All nodes below the roots with depth and pre-order place, by a sort key made of the positions on the way down.
+
+    A tree of more than `most` levels, or a cycle below a root, is an error.
+    """
     base = nodes.select(F.col(node), F.col(parent), F.col(order).alias("__o"))
     level = base.where(F.col(parent).isNull()).select(node, F.array(F.struct("__o", F.col(node).alias("n"))).alias("__path"), F.lit(0).alias("depth"))
     out = level = _cut(level)
@@ -54,6 +47,8 @@ def preorder(nodes: DataFrame, node: str = "node_id", parent: str = "parent_id",
         if not level.take(1):
             break
         out = out.unionByName(level)
+    else:
+        raise ValueError(f"the tree has {most} levels or more below its roots")
     return out.withColumn("place", F.row_number().over(Window.orderBy("__path"))).drop("__path")
 
 
@@ -67,7 +62,7 @@ def allowed(url: Column, patterns: list[str]) -> Column:
 
 def is_document(url: Column) -> Column:
     """The path ends like a file that is not a page."""
-    return F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))).rlike(r"\.(pdf|docx?|xlsx?|csv|zip)$")
+    return F.lower(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))).rlike(r"\.(pdf|docx?|xlsx?|zip)$")
 
 
 def same_host(a: Column, b: Column) -> Column:

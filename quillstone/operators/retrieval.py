@@ -152,6 +152,9 @@ def probe_union(df: DataFrame, id_col: str, node: str, title: str, text: str, to
 
 def citation_first(df: DataFrame, id_col: str, node: str, tokens: Sequence[str], order: Sequence[Column], most: int = 8) -> DataFrame:
     """At most `most` candidates, each once: those that match a citation, if there are any, else all."""
-    unique = df.dropDuplicates([id_col]).withColumn("__c", F.coalesce(T.matches_citation(F.col(node), F.array(*[F.lit(t) for t in tokens])), F.lit(False)) if tokens else F.lit(False))
-    some = F.max("__c").over(Window.partitionBy(F.lit(0)))
-    return unique.withColumn("__any", some).where(F.col("__c") | ~F.col("__any")).drop("__c", "__any").orderBy(*order).limit(most)
+    unique = df.dropDuplicates([id_col])
+    if tokens:
+        cited = unique.where(F.coalesce(T.matches_citation(F.col(node), F.array(*[F.lit(t) for t in tokens])), F.lit(False))).orderBy(*order).limit(most)
+        if cited.take(1):
+            return cited
+    return unique.orderBy(*order).limit(most)

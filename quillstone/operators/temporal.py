@@ -18,7 +18,8 @@ def history(changes: DataFrame, key: str, hash_col: str, date_col: str, tie: str
     """
     order = [F.col(date_col), *([F.col(tie)] if tie else [])]
     w = Window.partitionBy(key).orderBy(*order)
-    changed = changes.withColumn("__before", F.lag(hash_col).over(w)).where(F.col("__before").isNull() | ~F.col("__before").eqNullSafe(F.col(hash_col))).drop("__before")
+    marked = changes.withColumns({"__before": F.lag(hash_col).over(w), "__nth": F.row_number().over(w)})
+    changed = marked.where((F.col("__nth") == 1) | ~F.col("__before").eqNullSafe(F.col(hash_col))).drop("__before", "__nth")
     return changed.withColumn("superseded_date", F.lead(date_col).over(w)).withColumn("is_current", F.col("superseded_date").isNull())
 
 
@@ -26,9 +27,9 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     """One key's changes in order of arrival: a hash seen before is skipped, and so is an older date; else the current version is closed."""
     out, seen, current = [], set(), None
     for row in pdf.sort_values(["arrival"], kind="stable").to_dict("records"):
-        if row["hash"] in seen or row["hash"] is None:
+        if pd.isna(row["hash"]) or row["hash"] in seen:
             continue
-        if current is not None and (row["effective_date"] is None or row["effective_date"] < current["effective_date"]):
+        if current is not None and (pd.isna(row["effective_date"]) or (not pd.isna(current["effective_date"]) and row["effective_date"] < current["effective_date"])):
             continue
         seen.add(row["hash"])
         if current is not None:

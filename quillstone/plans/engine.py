@@ -5,17 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import dates as D
 from quillstone.functions import text as T
+from quillstone.functions import values as VAL
 from quillstone.functions import vectors as V
 from quillstone.operators import current_value, evaluation, graph, relational, retrieval, temporal
 from quillstone.streaming import queue
 
 REFUSAL = "I cannot answer this question from the documents I have."
 MOST_CALLS, MOST_CORRECTIONS, MOST_SELECTED = 5, 2, 8
+#: First line of an indicator's embedding text (a fixed value).
+RECORD = "budget_indicator"
 UNVERIFIED = "This answer has not been verified."
 INCOMPLETE = "Some sources may be missing from this search."
 
@@ -136,8 +139,10 @@ class Engine:
 
     @staticmethod
     def _label(row: dict) -> str:
-        parts = [row.get("doc_title") or row.get("doc_filename") or row["table"], f"page {row['page_start']}" if row.get("page_start") is not None else None, f"retrieved {row['doc_retrieved']:%Y-%m-%d}" if row.get("doc_retrieved") else None]
-        return "[" + ", ".join(p for p in parts if p) + "]"
+        title = row.get("doc_title") or row.get("doc_filename") or row["table"]
+        page = f"page {row['page_start']}" if row.get("page_start") is not None else "page n/a"
+        day = f"{row['doc_retrieved']:%Y-%m-%d}" if row.get("doc_retrieved") else "retrieval date unavailable"
+        return f"[{title}, {page}, retrieved {day}]"
 
     def current_value(self, query: str) -> dict:
         """{source, value, section} of the value that the tables agree on; all None where they don't."""
@@ -195,10 +200,24 @@ def reconcile(pending: DataFrame, provisions: DataFrame, compare: Callable[[str,
 
 
 def verify_votes(decisions: DataFrame, votes: DataFrame) -> DataFrame:
-    """Decisions with the one vote of their document that fits best by shared words; none where two fit alike."""
-    pairs = decisions.select(F.col("id").alias("decision_id"), "document_id", "subject").join(votes.select(F.col("id").alias("vote_id"), "document_id", "motion_text"), "document_id")
-    scored = pairs.withColumn("score", T.content_similarity(F.col("subject"), F.col("motion_text"))).where("score > 0")
-    return relational.unique_best(scored, "decision_id", "score", "vote_id").select("decision_id", "vote_id", "score")
+    """(decision_id, vote_id, matched_via) of decisions (id, document_id, subject) with just one best vote of their document.
+
+    A single vote whose motion names a chapter or appendix of the subject wins by citation. Of several such votes, or of
+    all votes if there is none, the one with most of the subject's keywords in its motion wins, unless two have as many.
+    """
+    wanted = decisions.select(F.col("id").alias("decision_id"), "document_id", T.keywords(F.col("subject")).alias("words"), T.citation_tokens(F.col("subject")).alias("cites"))
+    pairs = wanted.join(votes.select(F.col("id").alias("vote_id"), "document_id", "motion_text"), "document_id")
+    motion = F.lower("motion_text")
+    scored = pairs.withColumns(
+        {
+            "cited": F.arrays_overlap("cites", T.citation_tokens(F.col("motion_text"))).cast("int"),
+            "score": F.size(F.filter("words", lambda w: F.contains(motion, w))),
+        }
+    ).withColumn("named", F.sum("cited").over(Window.partitionBy("decision_id")))
+    by_citation = scored.where("named = 1 AND cited = 1").select("decision_id", "vote_id", F.lit("citation").alias("matched_via"))
+    pool = scored.where("(named = 0 OR (named > 1 AND cited = 1)) AND score > 0")
+    by_words = relational.unique_best(pool, "decision_id", "score", "vote_id").select("decision_id", "vote_id", F.lit("keyword").alias("matched_via"))
+    return by_citation.unionByName(by_words)
 
 
 def ingest_step(table: DataFrame, now: Column, limit: int, process: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -221,8 +240,12 @@ def acknowledge(alerts: DataFrame, alert_id: str) -> DataFrame:
 
 
 def reembed(indicators: DataFrame, encode, columns: Sequence[str], dry_run: bool = True) -> DataFrame:
-    """Rows with their embedding text, one labelled line for each column (null as `null`); with vectors unless it is a dry run."""
-    text = F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in columns])
+    """Rows with their embedding text; with vectors unless it is a dry run.
+
+    The text has a line for the kind of record, then one labelled line for each column (see values.embedding_field).
+    """
+    kinds = dict(indicators.dtypes)
+    text = F.concat_ws("\n", F.lit(RECORD), *[F.concat(F.lit(f"{c}: "), VAL.embedding_field(F.col(c), kinds[c])) for c in columns])
     out = indicators.withColumn("embedding_text", text)
     return out if dry_run else out.withColumn("embedding", encode(F.col("embedding_text")))
 

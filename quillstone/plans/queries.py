@@ -10,9 +10,9 @@ from quillstone.functions import html as H
 from quillstone.functions import structured as S
 from quillstone.functions import text as T
 from quillstone.functions import vectors as V
-from quillstone.llm.common import materialise, small
 from quillstone.operators import chunking, constraints, evaluation, graph, relational, retrieval, temporal
 from quillstone.plans.registry import query
+from quillstone.scratch import materialise, small
 from quillstone.streaming import queue, windows
 
 WORDS = ("with", "this", "from")
@@ -482,7 +482,7 @@ def constraint_report(spark, d):
 # ---------------------------------------------------------------- text, dates, JSON, HTML
 
 
-@query("normalized_text", r"""SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents WHERE NOT regexp_matches(text, '\d,\d')""")
+@query("normalized_text", r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '([0-9]),([0-9])', '\1\2', 'g'), '([0-9]),([0-9])', '\1\2', 'g'), '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents""")
 def normalized_text(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(T.normalized_text(F.col("text"))).alias("digest"))
 
@@ -492,7 +492,7 @@ def query_terms(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(T.query_terms(F.col("text"))).alias("terms"))
 
 
-@query("token_estimate", r"""SELECT doc_id, ceil(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) * 1.3)::INT AS tokens FROM documents WHERE regexp_full_match(text, '[\x00-\x7F\x{C0}-\x{FF}]*')""")
+@query("token_estimate", r"""SELECT doc_id, ceil(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D\x20]+'), lambda x: x <> '')) * 1.3)::INT AS tokens FROM documents""")
 def token_estimate(spark, d):
     return read(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
@@ -505,8 +505,10 @@ def sentence_count(spark, d):
 @query(
     "jaccard_near_dups",
     """WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3)) AS a FROM documents),
-b AS (SELECT item_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3)) AS b FROM benchmark)
-SELECT doc_id, item_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 9) AS similarity FROM t JOIN b ON item_id = doc_id % 40""",
+b AS (SELECT item_id, list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 3)) AS b FROM benchmark),
+x AS (SELECT doc_id, len(a) AS na, unnest(a) AS w FROM t), y AS (SELECT item_id, len(b) AS nb, unnest(b) AS w FROM b),
+p AS (SELECT doc_id, item_id, na, nb, count(*) AS n FROM x JOIN y USING (w) GROUP BY ALL)
+SELECT doc_id, item_id, round(n / (na + nb - n), 9) AS similarity FROM p""",
 )
 def jaccard_near_dups(spark, d):
     """Every document with every item that shares a content token with it; all other pairs have similarity 0 and no row."""

@@ -74,9 +74,12 @@ def test_answers(spark):
     assert one(spark, T.has_number(a), "5%", "id 123e4567-e89b-12d3-a456-426614174000", "none") == [True, False, False]
     assert one(spark, T.is_uuid(a), "123e4567-e89b-12d3-a456-426614174000", "x", None) == [True, False, False]
     assert one(spark, T.normalize_claim(a), "  A  B ") == ["a b"]
-    assert [x.strip() for x in one(spark, T.with_caveats(a, F.array(F.lit("Note."), F.lit("Note."))), "x", "x Note.")] == ["x Note.", "x Note."]
+    assert one(spark, T.with_caveats(a, T.caveat_list(F.lit("Note. "), F.lit("Note."), F.lit(None))), " x ", "x Note.") == ["x\n\nCaveats: Note.", "x Note."]
+    assert one(spark, T.append_caveat(a, F.lit("Note.")), None, " ", "See Note. 2", "More.") == ["Note.", "Note.", "See Note. 2", "More. Note."]
+    missing = T.citation_label(a, F.lit(None).cast("int"), F.lit(None).cast("timestamp"))
+    assert one(spark, missing, "T") == ["[T, page n/a, retrieved retrieval date unavailable]"]
     assert one(spark, T.non_blank(a), " x ", "  ") == ["x", None]
-    assert one(spark, T.question_style(a), "list all fees", "what is the rate", "tell me about the way that the county sets its many rates please") == ["list", "terse", "conversational"]
+    assert one(spark, T.question_style(a), "list all fees", "what is the rate", "tell me about the way that the county sets its many rates please", "a question of more than eight words about nothing at all") == ["structured", "terse", "conversational", "structured"]
 
 
 def test_dates_in_urls(spark):
@@ -171,5 +174,5 @@ def test_narrative_values(spark):
 
 def test_values_and_formats(spark):
     assert one(spark, V.format_value(a.cast("double"), b), ("1.12", "dollars per $100"), ("6", "percent"), ("5", "tons")) == ["$1.12 per $100", "6%", "5 tons"]
-    assert one(spark, V.stage_from_url(a), "https://x/FY2026-Adopted", "https://x/advertised", "https://x") == ["adopted", "advertised", None]
-    assert one(spark, V.canonical_indicator(a, {"real estate": "Real Estate Tax Rate"}), "FY 2026 Adopted Real Estate Rate", "Other 2025") == ["Real Estate Tax Rate", "Other"]
+    assert one(spark, V.stage_from_url(a), "https://x/FY2026/Adopted/a.pdf", "https://x/fy2026/advertised/adopted-budget.pdf", "https://x/FY2026-Adopted") == ["adopted", "advertised", None]
+    assert one(spark, V.canonical_indicator(a), "FY 2026 Adopted Real Estate Tax Rate", "Other 2025", "2026  approved Visits draft", "Adopted") == ["Real Estate Tax rate", "Other 2025", "Visits", "Adopted"]

@@ -63,6 +63,10 @@ def test_history(spark):
     df = spark.createDataFrame(data, "key string, hash string, effective_date date, arrival int")
     assert rows(temporal.history(df, "key", "hash", "effective_date"), "hash", "is_current") == [("A", False), ("A", True), ("B", False), ("C", False)]
     assert rows(temporal.history_by_arrival(df), "hash", "superseded_date", "is_current") == [("A", day(2021, 1, 1), False), ("B", None, True)]
+    undated = spark.createDataFrame([("k", "A", ts(2020, 1, 1), 1), ("k", "B", None, 2), ("k", None, ts(2024, 1, 1), 3)], "key string, hash string, effective_date timestamp, arrival int")
+    assert rows(temporal.history_by_arrival(undated), "hash", "superseded_date", "is_current") == [("A", None, True)]
+    nulls = spark.createDataFrame([("k", None, day(2020, 1, 1)), ("k", None, day(2021, 1, 1)), ("k", "A", day(2022, 1, 1))], "key string, hash string, effective_date date")
+    assert temporal.history(nulls, "key", "hash", "effective_date").count() == 2
 
 
 def test_mode(spark):
@@ -250,8 +254,9 @@ def test_jobs(spark):
     ext = spark.createDataFrame([("2", day(2020, 1, 2)), ("2", day(2020, 1, 1)), ("1", day(1999, 1, 1))], "document_id string, extracted_date date")
     assert rows(engine.document_dates(docs, ext), "id", "document_date", "date_source") == [("1", day(2024, 5, 6), "url"), ("2", day(2020, 1, 1), "extracted"), ("3", None, None)]
     dec = spark.createDataFrame([("x", "d", "approve hotel levy"), ("y", "d", "sewer plan")], "id string, document_id string, subject string")
-    votes = spark.createDataFrame([("v1", "d", "motion on the hotel levy"), ("v2", "d", "sewer plan"), ("v3", "d", "sewer plan")], "id string, document_id string, motion_text string")
-    assert rows(engine.verify_votes(dec, votes), "decision_id", "vote_id") == [("x", "v1")]
+    dec = dec.unionByName(spark.createDataFrame([("z", "d", "Chapter 41 sewer plan")], dec.schema))
+    votes = spark.createDataFrame([("v1", "d", "motion on the hotel levy"), ("v2", "d", "sewer plan"), ("v3", "d", "sewer plan"), ("v4", "d", "amend Ch. 41")], "id string, document_id string, motion_text string")
+    assert rows(engine.verify_votes(dec, votes), "decision_id", "vote_id", "matched_via") == [("x", "v1", "keyword"), ("z", "v4", "citation")]
     pend = spark.createDataFrame([("c1", "n", "new", "pending"), ("c2", "m", "new", "pending")], "id string, node_id string, proposed_text string, codification_status string")
     prov = spark.createDataFrame([("p", "n", "new", True)], "id string, node_id string, content string, is_current boolean")
     done = spark.createDataFrame([], "pending_change_id string, provision_id string")
@@ -261,7 +266,7 @@ def test_jobs(spark):
     with pytest.raises(ValueError):
         engine.acknowledge(alerts, "x")
     ind = spark.createDataFrame([("a", None)], "k string, v int")
-    assert engine.reembed(ind, None, ["k", "v"]).first().embedding_text == "k: a\nv: null"
+    assert engine.reembed(ind, None, ["k", "v"]).first().embedding_text == "budget_indicator\nk: a\nv: null"
 
 
 def test_rerank_and_anchors(spark):
