@@ -18,7 +18,7 @@ block of it with one exchange instead of one pass per block:
    hashes of both anchor and window do.
 3. An anchor with more than HOT occurrences (a boilerplate passage in a third of all documents) isn't gathered in one
    block: its windows are counted with a combine before the shuffle, and answers return over salted keys. Each repeated
-   window of it is a factor that points to the first place where it stands, or to the last from there.
+   window of it is a factor, without a pointer, since it stands in very many places.
 4. Factors return to their documents, and the words they cover go.
 """
 
@@ -37,7 +37,7 @@ from quillstone.llm.common import PLAIN, Words, discard, grams, materialise, pac
 WINDOW = 35
 GRAM = 12
 #: Occurrences of an anchor from which on its windows are counted apart and its answers salted.
-HOT = 4_000
+HOT = 20_000
 SALTS = 64
 #: Windows of a run at most; factors of runs that abut become one span.
 LONGEST_RUN = 1000
@@ -224,7 +224,7 @@ def relative_factors(plain: DataFrame, window: int = WINDOW, gram: int = GRAM, h
     """plain: id (long), text without nulls -> id, start, windows, source, source_start of all factors of a window or more.
 
     A factor of so many windows covers windows - 1 + window words from start on; the same words stand at source_start in
-    the text of id source. A join beyond the broadcast bound is on the anchor, whose hot keys adaptive execution splits.
+    the text of id source. Windows of a hot anchor, which stand in very many places, name no source. A join beyond the broadcast bound is on the anchor, whose hot keys adaptive execution splits.
     """
     counted = plain.mapInArrow(lambda b: _count(b, window, gram), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     repeated = materialise(counted)
@@ -234,12 +234,11 @@ def relative_factors(plain: DataFrame, window: int = WINDOW, gram: int = GRAM, h
     found = cool.mapInArrow(_parse, "id long, start long, windows long, source long, source_start long")
     if runs.where("hot").take(1):
         flat = runs.where("hot").select("id", "start", "anchor", "prints").mapInArrow(_open, "id long, start long, anchor long, print long")
-        place, salts = F.struct("id", "start"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        again = flat.groupBy("anchor", "print").agg(F.min(place).alias("one"), F.max(place).alias("other"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        salted = flat.withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.lit(SALTS)).cast("int"))
-        answered = salted.join(again.select("anchor", "print", "one", "other", salts), ["anchor", "print", "salt"])
-        source = F.when(place == F.col("one"), F.col("other")).otherwise(F.col("one"))
-        found = found.unionByName(answered.select("id", "start", F.lit(1).cast("long").alias("windows"), source.id.alias("source"), source.start.alias("source_start")))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        again = flat.groupBy("anchor", "print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "print", salts)
+        salted = flat.withColumn("salt", F.pmod(F.xxhash64("id", "start"), F.lit(SALTS)).cast("int")).join(again, ["anchor", "print", "salt"], "left_semi")
+        nowhere = F.lit(None).cast("long")
+        found = found.unionByName(salted.select("id", "start", F.lit(1).cast("long").alias("windows"), nowhere.alias("source"), nowhere.alias("source_start")))
     out = materialise(found)
     discard(runs)
     return out
