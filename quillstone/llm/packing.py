@@ -66,17 +66,20 @@ class Encoder:
         return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
     def _learn(self, fresh: list[bytes]) -> None:
-        rest = []
+        rest, tokenize, cache = [], self.model.tokenize, self.cache
         for word in fresh:
+            if word.isalpha():  # ASCII letters alone: their bytes stand for themselves
+                cache[word] = array("I", [t.id for t in tokenize(word.lower().decode())]).tobytes()
+                continue
             text = word.decode()
             if LETTERS.fullmatch(text):
-                self.cache[word] = array("I", [t.id for t in self.model.tokenize(text.lower().encode().decode("latin1").translate(BYTE_CHARACTERS))]).tobytes()
+                cache[word] = array("I", [t.id for t in tokenize(text.lower().encode().decode("latin1").translate(BYTE_CHARACTERS))]).tobytes()
             else:
                 rest.append(word)
         for lo in range(0, len(rest), 20_000):
             part = rest[lo : lo + 20_000]
             for word, coded in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.cache[word] = array("I", coded.ids).tobytes()
+                cache[word] = array("I", coded.ids).tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         return self._cached(texts) if self.by_words else [self._plain(t) for t in texts]
@@ -87,8 +90,10 @@ class Encoder:
         if len(cache) > CACHE:
             cache.clear()
         split, whole = [], set()
-        for word in used:
-            if word not in cache:
+        for word in used - cache.keys():
+            if word.isalpha():
+                whole.add(word)
+            else:
                 stem = word.rstrip(MARKS)
                 if len(stem) == len(word) or not stem[-4:].decode(errors="ignore").lower()[-1:].isalnum():
                     whole.add(word)
