@@ -57,7 +57,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.cache, self.most = Tokenizer.from_file(path), {}, CACHE
         self.model = self.tokenizer.model
         self.by_words = all(self._cached([p])[0] == self._plain(p) for p in PROBES)
         self.cache.clear()
@@ -87,7 +87,7 @@ class Encoder:
     def _cached(self, texts: list[bytes]) -> list[bytes]:
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         cache, used = self.cache, set().union(*words)
-        if len(cache) > CACHE:
+        if len(cache) > self.most:
             cache.clear()
         split, whole = [], set()
         for word in used - cache.keys():
@@ -116,8 +116,9 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, size: int, end_id: int, cache_words: int = CACHE) -> Iterator[pa.RecordBatch]:
     encode, end, step = _encoder(path), np.array([end_id], "<u4").tobytes(), 4 * size
+    encode.most = cache_words
     seen = np.zeros(size + 1, np.int64)
     for batch in slices(batches, most=2 << 20):
         rows = []
@@ -203,17 +204,17 @@ def best_fit_decreasing(histogram: dict[int, int], size: int) -> list[tuple[int,
     return rules
 
 
-def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
+def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = END_ID, cache_words: int = CACHE) -> DataFrame:
     """Per piece: id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A document's ids are its text's (null: none) and end_id; each lies in just one piece. Pieces of a window lie side by
     side from offset 0. Rows that repeat an id, or have none, are documents of their own. Other columns don't matter; an
-    empty table gives an empty result. The tokenizer's file has to be at the same path on all machines.
+    empty table gives an empty result. A worker remembers about cache_words words (220 bytes each). The tokenizer's file has to be at the same path on all machines.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # What grows: `before` has a row for each task and length, at most `size` rows a task; it is broadcast only when small.
-    cut = docs.mapInArrow(lambda b: _pieces(b, tokenizer_path, size, end_id), f"id {dict(docs.dtypes)['id']}, start long, length long, ids binary, doc_tokens long, nth long")
+    cut = docs.mapInArrow(lambda b: _pieces(b, tokenizer_path, size, end_id, cache_words), f"id {dict(docs.dtypes)['id']}, start long, length long, ids binary, doc_tokens long, nth long")
     pieces = materialise(cut.withColumn("task", F.spark_partition_id()))
     counts = materialise(pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))).select("task", "length", F.coalesce("before", F.lit(0)).alias("before"))

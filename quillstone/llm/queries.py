@@ -26,15 +26,15 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
+def pack_documents(docs: DataFrame, cache_words: int = packing.CACHE) -> DataFrame:
     import public_tokenizers
 
-    out = packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")))
+    out = packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")), cache_words=cache_words)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir))
+    return pack_documents(documents(spark, sf_dir), cache_words=450_000)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
