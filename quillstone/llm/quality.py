@@ -198,7 +198,7 @@ def train_quality(
 
     def statistics(sample: DataFrame) -> np.ndarray:
         found = sorted(r.x for r in hash_sample(sample, "id", rows, "text", most_bytes).mapInArrow(_features, f"id {dict(docs.dtypes)['id']}, x binary").collect())
-        return np.frombuffer(b"".join(found), np.float32).reshape(len(found), -1)
+        return np.frombuffer(b"".join(found), np.float32).reshape(len(found), -1) if found else np.zeros((0, 1), np.float32)
 
     good, other = statistics(trusted), statistics(docs)
     discard(marked, trusted)
