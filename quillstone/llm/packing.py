@@ -17,7 +17,7 @@ import os
 import re
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,57 +57,46 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.most = Tokenizer.from_file(path), {}, CACHE
-        self.model = self.tokenizer.model
+        self.tokenizer, self.cache, self.most = Tokenizer.from_file(path), Learned(self._word), CACHE
+        self.tokenize = self.tokenizer.model.tokenize
         self.by_words = all(self._cached([p])[0] == self._plain(p) for p in PROBES)
         self.cache.clear()
 
     def _plain(self, text: bytes) -> bytes:
-        return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, fresh: list[bytes]) -> None:
-        rest, tokenize, cache = [], self.model.tokenize, self.cache
-        for word in fresh:
-            if word.isalpha():  # ASCII letters alone: their bytes stand for themselves
-                cache[word] = array("I", [t.id for t in tokenize(word.lower().decode())]).tobytes()
-                continue
-            text = word.decode()
-            if LETTERS.fullmatch(text):
-                cache[word] = array("I", [t.id for t in tokenize(text.lower().encode().decode("latin1").translate(BYTE_CHARACTERS))]).tobytes()
-            else:
-                rest.append(word)
-        for lo in range(0, len(rest), 20_000):
-            part = rest[lo : lo + 20_000]
-            for word, coded in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                cache[word] = array("I", coded.ids).tobytes()
+        return array("I", self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone: their bytes stand for themselves
+            return array("I", [t.id for t in self.tokenize(word.lower().decode())]).tobytes()
+        stem = word.rstrip(MARKS)
+        if len(stem) < len(word) and stem[-4:].decode(errors="ignore").lower()[-1:].isalnum():
+            return (self.cache.get(stem) or self._word(stem)) + self.cache[word[len(stem) :]]
+        text = word.decode()
+        if LETTERS.fullmatch(text):
+            return array("I", [t.id for t in self.tokenize(text.lower().encode().decode("latin1").translate(BYTE_CHARACTERS))]).tobytes()
+        return self._plain(word)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         return self._cached(texts) if self.by_words else [self._plain(t) for t in texts]
 
     def _cached(self, texts: list[bytes]) -> list[bytes]:
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        cache, used = self.cache, set().union(*words)
-        if len(cache) > self.most:
-            cache.clear()
-        split, whole = [], set()
-        for word in used - cache.keys():
-            if word.isalpha():
-                whole.add(word)
-            else:
-                stem = word.rstrip(MARKS)
-                if len(stem) == len(word) or not stem[-4:].decode(errors="ignore").lower()[-1:].isalnum():
-                    whole.add(word)
-                else:
-                    split.append((word, stem, word[len(stem) :]))
-        for _, stem, tail in split:
-            if stem not in cache:
-                whole.add(stem)
-            if tail not in cache:
-                whole.add(tail)
-        self._learn(list(whole))
-        for word, stem, tail in split:
-            cache[word] = cache[stem] + cache[tail]
-        return [b"".join(map(cache.__getitem__, w)) for w in words]
+        ids, out = self.cache.__getitem__, []
+        for text in texts:
+            if len(self.cache) > self.most:
+                self.cache.clear()
+            out.append(b"".join(map(ids, (text if b"<|" in text else text.lower()).split())))
+        return out
+
+
+class Learned(dict):
+    """Values that learn gives when they are first asked for."""
+
+    def __init__(self, learn: Callable[[bytes], bytes]):
+        self.learn = learn
+
+    def __missing__(self, key: bytes) -> bytes:
+        value = self[key] = self.learn(key)
+        return value
 
 
 @functools.lru_cache(maxsize=1)
