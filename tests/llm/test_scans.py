@@ -181,6 +181,19 @@ def test_viterbi_is_the_best_sequence():
         assert tuple(chain.viterbi(ids)) == max(itertools.product(range(3), repeat=n), key=score)
 
 
+def test_encoder_on_odd_words():
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(VOCABULARY), packing.Encoder(VOCABULARY)
+    assert encoder.by_words
+    encoder.most = 50  # forgets all the time
+    rng = random.Random(9)
+    parts = ("The", "fox", "'s", "ÉTÉ", "ß", "!!", "...", "\"", "12", "<|endoftext|>", "<|", "ΣΑΣ", "é", "İ", "\u0301", "中文", "\u00a0", "\u2019", "\U0001f600", "\x00", "_", "\n", "\t", "  ")
+    texts = ["".join(rng.choice(parts) + rng.choice(("", "", " ")) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    for text, ids in zip(texts, encoder([t.encode() for t in texts]), strict=True):
+        assert ids == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
