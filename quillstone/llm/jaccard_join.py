@@ -238,11 +238,17 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(sizes[row].astype(np.int32)), pa.array(data.view(np.int64))], names=["key", "size", "f1"])
 
 
-def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, id) -> lists of one, as _lists takes them."""
+def _regrouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id) -> members of each key among many rows, as _lists takes them: a key of very many ids leaves a task a few times."""
+    held, room = [], HELD
     for batch in batches:
-        ids = batch.column("id").to_numpy()
-        yield pa.RecordBatch.from_arrays([batch.column("key"), packed_flat(ids, np.arange(len(ids) + 1))], names=["key", "members"])
+        held.append((batch.column("key").to_numpy().view(np.uint64).copy(), batch.column("id").to_numpy().copy()))
+        room -= batch.num_rows
+        if room < 0:
+            yield _grouped(held)
+            held, room = [], HELD
+    if held:
+        yield _grouped(held)
 
 
 def _near_pairs(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
@@ -378,7 +384,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = families.join(sized.where("whole"), "component").select(F.col("component").alias("item"), F.lit(0).alias("side"), F.col("node").alias("id"))
     if sized.where("NOT whole").take(1):
         large = families.join(sized.where("NOT whole"), "component").select(F.col("node").alias("id"))
-        rows = rows.unionByName(_blocks(_by_key(entries.join(large, "id", "left_semi").mapInArrow(_alone, "key long, members binary"))))
+        rows = rows.unionByName(_blocks(_by_key(entries.join(large, "id", "left_semi").mapInArrow(_regrouped, "key long, members binary"))))
     rows = materialise(rows.join(members.select("id", "k", "f1", "f2"), "id"))
     discard(entries)
     shingles = docs.select("k", "text").join(small(rows), "k").select("item", "side", "id", "f1", "f2", "text")
@@ -430,7 +436,7 @@ def _families(entries: DataFrame, described: DataFrame, threshold: Threshold) ->
     family = F.coalesce("family", "id")
     several = entries.join(small(named), "id", "left").groupBy("key").agg(F.min(family).alias("least"), F.max(family).alias("most"), F.count(F.lit(1)).alias("size"))
     several = materialise(several.where("least < most AND size > 2").select("key"))
-    rest = materialise(_by_key(entries.join(small(several), "key", "left_semi").mapInArrow(_alone, "key long, members binary")))
+    rest = materialise(_by_key(entries.join(small(several), "key", "left_semi").mapInArrow(_regrouped, "key long, members binary")))
     known = described.join(small(named), "id", "left").withColumn("family", family)
     more = _blocks(rest).join(known, "id").repartition(F.col("item")).sortWithinPartitions("item").mapInArrow(lambda b: _near(b, threshold), compared)
     out = components(near.unionByName(more))

@@ -6,9 +6,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillstone.llm import common, exact_dedup, jaccard_join, substring_dedup
+from quillstone.llm import components as components_of
 
 SCHEMA = "doc_id long, text string, lang string, id string, kept string"
 
@@ -197,6 +199,29 @@ def test_jaccard_of_a_large_family_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect())) == components(df.collect())
 
 
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    """A chain of links is joined in one task, however long it is; beyond the bound, rounds of stars give the same."""
+    chain = list(range(-200, 200))
+    random.Random(5).shuffle(chain)
+    links = spark.createDataFrame([*zip(chain, chain[1:], strict=False), (500, 501), (501, 500), (502, 502), (503, 500)], "a long, b long").repartition(6)
+    want = sorted([(x, -200) for x in chain] + [(x, 500) for x in (500, 501, 503)])
+    spark.sparkContext.setJobGroup("few links", "")
+    assert sorted(map(tuple, components_of.components(links).collect())) == want
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 8
+    spark.sparkContext.setJobGroup("more links", "")
+    monkeypatch.setattr(components_of, "LINKS", 0)
+    assert sorted(map(tuple, components_of.components(links).collect())) == want
+    assert components_of.components(links.where("a = b")).count() == 0
+
+
+def test_lists_of_a_key_of_many_ids_are_grouped_before_the_shuffle():
+    rows = [(7 if k % 2 else k, k) for k in range(3000)]
+    batches = [pa.RecordBatch.from_pylist([{"key": key, "id": i} for key, i in rows[lo : lo + 1000]]) for lo in range(0, 3000, 1000)]
+    out = [r for batch in jaccard_join._regrouped(iter(batches)) for r in batch.to_pylist()]
+    assert sorted((r["key"], i) for r in out for i in np.frombuffer(r["members"], np.int64).tolist()) == sorted(rows)
+    assert len(out) == 1501
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
     threshold = jaccard_join.Threshold(85, 100)
