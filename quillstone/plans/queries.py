@@ -12,7 +12,6 @@ from quillstone.functions import text as T
 from quillstone.functions import vectors as V
 from quillstone.operators import chunking, constraints, evaluation, graph, relational, retrieval, temporal
 from quillstone.plans.registry import query
-from quillstone.scratch import materialise, small
 from quillstone.streaming import queue, windows
 
 WORDS = ("with", "this", "from")
@@ -512,12 +511,9 @@ SELECT doc_id, item_id, round(n / (na + nb - n), 9) AS similarity FROM p""",
 )
 def jaccard_near_dups(spark, d):
     """Every document with every item that shares a content token with it; all other pairs have similarity 0 and no row."""
-    a = read(spark, d, "documents").select("doc_id", F.monotonically_increasing_id().alias("row"), T.content_tokens(F.col("text")).alias("a"))
-    b = read(spark, d, "benchmark").select("item_id", F.monotonically_increasing_id().alias("item"), T.content_tokens(F.col("text")).alias("b"))
-    items = small(materialise(b.select("item_id", "item", F.size("b").alias("n_b"), F.explode("b").alias("token"))))
-    shared = a.select("doc_id", "row", F.size("a").alias("n_a"), F.explode("a").alias("token")).join(items, "token")
-    both = shared.groupBy("row", "doc_id", "n_a", "item", "item_id", "n_b").agg(F.count(F.lit(1)).alias("n"))
-    return both.select("doc_id", "item_id", F.round(F.col("n") / (F.col("n_a") + F.col("n_b") - F.col("n")), 9).alias("similarity"))
+    a, b = (read(spark, d, t).select(F.col(i).alias("id"), T.content_tokens(F.col("text")).alias("tokens")) for t, i in (("documents", "doc_id"), ("benchmark", "item_id")))
+    both = relational.shared_tokens(a, b)
+    return both.select(F.col("left").alias("doc_id"), F.col("right").alias("item_id"), F.round(F.col("n") / (F.col("n_left") + F.col("n_right") - F.col("n")), 9).alias("similarity"))
 
 
 @query("snippets", "SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '…' ELSE text END AS snippet FROM documents")
